@@ -271,7 +271,7 @@ def _list_sql(c: str) -> str:
 _LAST = "SELECT id, aspect_category AS aspect, arg_max(sentiment_prob, pred_id) AS p FROM absa_predictions WHERE sentiment_prob IS NOT NULL GROUP BY ALL"
 
 
-@query(rf"WITH l AS ({_LAST}), m AS (SELECT DISTINCT id, community FROM community_input WHERE id IS NOT NULL), v AS (SELECT m.id, m.community, l.aspect, {_list_sql('p')} AS v FROM m JOIN l USING (id) WHERE NOT regexp_matches(p, '^\s*{_NUM}\s*$')) SELECT id, community, aspect, round(coalesce(v[1], 0), 6) AS pos, round(coalesce(v[2], 0), 6) AS neu, round(coalesce(v[3], 0), 6) AS neg FROM v WHERE v IS NULL OR len(v) = 3")
+@query(rf"WITH l AS ({_LAST}), m AS (SELECT DISTINCT id, community FROM community_input WHERE id IS NOT NULL), v AS (SELECT m.id, m.community, l.aspect, {_list_sql('p')} AS v FROM m JOIN l USING (id) WHERE NOT regexp_matches(p, '^\s*({_NUM}|\[\s*\])\s*$')) SELECT id, community, aspect, round(coalesce(v[1], 0), 6) AS pos, round(coalesce(v[2], 0), 6) AS neu, round(coalesce(v[3], 0), 6) AS neg FROM v WHERE v IS NULL OR len(v) = 3")
 def absa_by_community(spark, d):
     p = _t(spark, d, "absa_predictions").filter("sentiment_prob is not null").withColumnRenamed("pred_id", "ord")
     m = _t(spark, d, "community_input").filter("id is not null").select("id", "community").distinct()
