@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gemaruang.functions.text import strip
+from gemaruang.operators.ranking import with_rank
 from gemaruang.session import cut
 
 CYCLE_DEPTH, BELOW_CYCLE_DEPTH = -1, -2
@@ -83,15 +84,15 @@ def _walk(links: DataFrame) -> DataFrame:
         state = cut(state.filter("done").withColumn("new", F.lit(False)).unionByName(settle(moved)))
 
 
-def _dfs(ids: list[str], parents: list[str | None]) -> tuple[list[str], list[int], list[int]]:
-    """Root, depth and order of each node of whole components; children in order of id, colours 0 white, 1 grey, 2 black."""
+def _dfs(ids: list[int], parents: list[int]) -> tuple[list[int], list[int]]:
+    """(place of the root or -1, depth) of each node of whole components; children in order of id, colours 0 white, 1 grey, 2 black."""
     at = {v: i for i, v in enumerate(ids)}
-    up = [at[p] if p is not None else -1 for p in parents]
+    up = [at[p] if p >= 0 else -1 for p in parents]
     children: list[list[int]] = [[] for _ in ids]
     for i in sorted(range(len(ids)), key=ids.__getitem__, reverse=True):
         if up[i] >= 0:
             children[up[i]].append(i)
-    colour, root, depth = [0] * len(ids), [""] * len(ids), [0] * len(ids)
+    colour, root, depth = [0] * len(ids), [-1] * len(ids), [0] * len(ids)
     on_cycle: set[int] = set()
     starts = [i for i in range(len(ids)) if up[i] < 0]
     # what no root reaches lies on or below a cycle: a grey node met on the way up closes it
@@ -114,19 +115,16 @@ def _dfs(ids: list[str], parents: list[str | None]) -> tuple[list[str], list[int
         for w in trail:
             colour[w] = 2
     colour = [0] * len(ids)
-    order = [0] * len(ids)
-    seen = 0
     for start in [*starts, *sorted(on_cycle)]:
         stack = [start]
         if start in on_cycle:
             depth[start] = CYCLE_DEPTH
         else:
-            root[start] = ids[start]
+            root[start] = start
         while stack:
             v = stack[-1]
             if colour[v] == 0:
                 colour[v] = 1
-                order[v] = seen = seen + 1
                 for w in children[v]:
                     if w in on_cycle:
                         continue
@@ -136,27 +134,28 @@ def _dfs(ids: list[str], parents: list[str | None]) -> tuple[list[str], list[int
             else:
                 colour[v] = 2
                 stack.pop()
-    return root, depth, order
+    return root, depth
 
 
 def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One task's components, whole and sorted by component."""
 
-    def flush(ids: list[str], parents: list) -> pd.DataFrame:
-        root, depth, _ = _dfs(ids, parents)
-        return pd.DataFrame({"id": ids, "root_id": root, "depth": depth})
+    def flush(ids: list[int], parents: list[int], names: list[str]) -> pd.DataFrame:
+        root, depth = _dfs(ids, parents)
+        return pd.DataFrame({"id": names, "root_id": ["" if r < 0 else names[r] for r in root], "depth": depth})
 
-    current, ids, parents = None, [], []
+    current, ids, parents, names = None, [], [], []
     for b in batches:
-        for comp, node, parent in zip(b["component"], b["node"], b["parent"]):
+        for comp, node, parent, name in zip(b["component"], b["node"], b["parent"], b["name"]):
             if comp != current and len(ids) >= 4096:
-                yield flush(ids, parents)
-                ids, parents = [], []
+                yield flush(ids, parents, names)
+                ids, parents, names = [], [], []
             current = comp
             ids.append(node)
             parents.append(parent)
+            names.append(name)
     if ids:
-        yield flush(ids, parents)
+        yield flush(ids, parents, names)
 
 
 def _marked_cycles(cyclic: DataFrame) -> DataFrame:
@@ -180,31 +179,40 @@ def _marked_cycles(cyclic: DataFrame) -> DataFrame:
         count = now
 
 
+def _numbered(links: DataFrame) -> DataFrame:
+    """(name, node, parent): nodes as their places in the order of ids, so that the rounds shuffle numbers and not texts; parent null for roots."""
+    ranked = with_rank(links.select(F.col("node").alias("name"), F.col("parent").alias("above")), ["name"], "node")
+    places = ranked.select(F.col("name").alias("above"), F.col("node").alias("parent"))
+    return cut(ranked.join(places, "above", "left").select("name", "node", "parent"))
+
+
 def hierarchy(links: DataFrame, max_component: int = 200_000) -> DataFrame:
     """(id, root_id, depth) of every node of ``links`` (node, parent).
 
     Roots have themselves and 0; nodes on a cycle ``''`` and -1, nodes below one ``''`` and -2. An empty table gives no rows.
     """
-    spark = links.sparkSession
-    state = _walk(links)
+    numbered = _numbered(links)
+    state = _walk(numbered.select("node", "parent"))
     sizes = state.groupBy(F.col("up").alias("component")).agg(F.count(F.lit(1)).alias("members"), F.max(F.col("cut").cast("int")).alias("cyclic"))
     # at most (all nodes / max_component) components are large; their labels are the only ones that are broadcast
     large = cut(sizes.filter(F.col("members") > max_component))
-    nodes = state.withColumnRenamed("up", "component")
+    nodes = state.select("node", "parent", F.col("up").alias("component"), "steps", "cut").join(numbered.select("node", "name"), "node")
     if large.isEmpty():
         small, rest = nodes, None
     else:
         marks = F.broadcast(large.select("component", "cyclic"))
         small = nodes.join(marks, "component", "left_anti")
         rest = nodes.join(marks, "component")
-    walked = small.select("component", "node", "parent").repartition("component").sortWithinPartitions("component").mapInPandas(_components, "id string, root_id string, depth long")
+    rows = small.select("component", "node", F.coalesce("parent", F.lit(-1).cast("long")).alias("parent"), "name")
+    walked = rows.repartition("component").sortWithinPartitions("component").mapInPandas(_components, "id string, root_id string, depth long")
     if rest is None:
         return walked
-    plain = rest.filter("cyclic = 0").select(F.col("node").alias("id"), F.col("component").alias("root_id"), F.col("steps").alias("depth"))
+    roots = F.broadcast(large.select("component").join(numbered.select(F.col("node").alias("component"), F.col("name").alias("root_id")), "component"))
+    plain = rest.filter("cyclic = 0").join(roots, "component").select(F.col("name").alias("id"), "root_id", F.col("steps").alias("depth"))
     cyclic = rest.filter("cyclic = 1")
     marked = _marked_cycles(cyclic).select("node", F.lit(True).alias("on"))
     looped = cyclic.join(marked, "node", "left").select(
-        F.col("node").alias("id"), F.lit("").alias("root_id"), F.when(F.col("on"), F.lit(CYCLE_DEPTH)).otherwise(F.lit(BELOW_CYCLE_DEPTH)).cast("long").alias("depth")
+        F.col("name").alias("id"), F.lit("").alias("root_id"), F.when(F.col("on"), F.lit(CYCLE_DEPTH)).otherwise(F.lit(BELOW_CYCLE_DEPTH)).cast("long").alias("depth")
     )
     return walked.unionByName(plain).unionByName(looped)
 
