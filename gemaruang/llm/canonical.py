@@ -38,7 +38,7 @@ _FOLD: dict[int, str] = {ord(a): b for seen, meant in LOOK_ALIKES.values() for a
 _FOLD |= {0x0340: "̀", 0x0341: "́", 0x0343: "̓"}
 
 #: Everything the quick check can pass over: ASCII and Latin letters in composed form, without the soft hyphen and the no-break space.
-_CANDIDATE = re.compile("(?:[^\\W\\d_]|[\x20-\x7e])?[^\x00-\x9f\xa1-\xac\xae-İĲ-ɏ]+|[\xa0\xad]+")
+CANDIDATE = re.compile("(?:[^\\W\\d_]|[\x20-\x7e])?[^\x00-\x9f\xa1-\xac\xae-İĲ-ɏ]+|[\xa0\xad]+")
 _KEEP_JOINER = 0x200D
 
 
@@ -64,7 +64,7 @@ def _symbol(ch: str) -> bool:
 
 
 @lru_cache(maxsize=1 << 16)
-def _segment(seg: str) -> str:
+def fold_segment(seg: str) -> str:
     decomposed = unicodedata.normalize("NFD", seg)
     out = []
     last = len(decomposed) - 1
@@ -81,7 +81,7 @@ def canonical(text: str | None) -> str | None:
     """The one form of ``text``."""
     if text is None or text.isascii():
         return text
-    return _CANDIDATE.sub(lambda m: _segment(m.group()), text)
+    return CANDIDATE.sub(lambda m: fold_segment(m.group()), text)
 
 
 def _canonical_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gemaruang.llm.canonical import fold_char
+from gemaruang.llm.canonical import CANDIDATE, fold_char, fold_segment
 from gemaruang.session import spread
 
 KINDS = ("email", "id_number", "phone", "address", "name")
@@ -78,20 +78,43 @@ _DISPLAY = re.compile(r"^\W*(?:(?i:" + _FORM + r")\b\.?\s+)?([A-Z][a-zà-ÿ]{2,}
 _BEFORE_FORM = re.compile(r"(?:^|[^\w])" + _FORM + r"\.?\s+$", re.I)
 _CLUSTER = re.compile("[^̀-ͯ]?[̀-ͯ]*", re.S)
 
-
-def fold_with_spans(text: str) -> tuple[str, list[int], list[int]]:
-    """The first transducer: (folded, start, end) with the source span of each character."""
-    out, start, end = [], [], []
-    for m in _CLUSTER.finditer(text):
+# what must be in a text before a detector can find anything; each test lets through all that its detector needs
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT_WORDS = frozenset(DIGITS)
+_CAPITALISED = re.compile(r"(?<![\w@#])[A-Z][a-zà-ÿ]{2,}")
+_DIGIT = re.compile("[0-9]")
+_DIGIT_RUN = re.compile(r"[0-9][0-9 .\-()]{7,}")
+_DISGUISE_WORDS = frozenset(("at", "dot", "titik"))
+_DISGUISED_AT = re.compile(r"@\s|\s@|[\[({<]\s*@")
+_DISGUISED_DOT = re.compile(r"[\[({<]\s*\.")
+_NAMING = frozenset(ADDRESS_FORMS) | {re.match(r"[^\W\d_]+", a).group() for a in ANNOUNCERS}
+_STREETS = frozenset("jalan jln jl gang gg perumahan perum kompleks komplek kompl lorong dusun kampung kp calle avenida".split())
+_ROADS = frozenset("street st road rd lane ln avenue ave drive boulevard".split())
+
+
+def _segment_spans(seg: str) -> list[tuple[str, int, int]]:
+    """(character, from, to) of the folded segment; a base and its marks are one source span."""
+    out = []
+    for m in _CLUSTER.finditer(seg):
         piece = m.group()
-        if not piece:
-            continue
-        folded = piece if piece < "\x7f" else unicodedata.normalize("NFC", "".join(map(fold_char, unicodedata.normalize("NFD", piece))))
-        for ch in folded:
-            out.append(ch)
-            start.append(m.start())
-            end.append(m.end())
-    return "".join(out), start, end
+        if piece:
+            folded = piece if piece < "\x7f" else unicodedata.normalize("NFC", "".join(map(fold_char, unicodedata.normalize("NFD", piece))))
+            out += [(ch, m.start(), m.end()) for ch in folded]
+    return out
+
+
+def fold_with_spans(text: str) -> tuple[str, list[int] | None, list[int] | None]:
+    """The first transducer: (folded, start, end) with the source span of each character; no spans where nothing changes.
+
+    Only segments that fail the quick check are looked at, as in the one form of texts.
+    """
+    edits = []
+    for m in CANDIDATE.finditer(text):
+        if fold_segment(m.group()) != m.group():
+            edits.append((m.start(), m.end(), [(ch, m.start() + i, m.start() + j) for ch, i, j in _segment_spans(m.group())]))
+    if not edits:
+        return text, None, None
+    return _rewrite(text, list(range(len(text))), list(range(1, len(text) + 1)), edits)
 
 
 def _rewrite(text: str, start: list[int], end: list[int], edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> tuple[str, list[int], list[int]]:
@@ -112,23 +135,34 @@ def _rewrite(text: str, start: list[int], end: list[int], edits: list[tuple[int,
     return "".join(out), s + start[at:], e + end[at:]
 
 
-def deobfuscate(text: str) -> tuple[str, list[int] | None, list[int] | None]:
-    """(normalised, start, end); the spans are None where nothing was changed."""
+def _deobfuscated(text: str) -> tuple[str, list[int] | None, list[int] | None, set[str]]:
+    """(normalised, start, end, its runs of letters in lower case)."""
     start = end = None
     if not text.isascii():
         text, start, end = fold_with_spans(text)
-    for pattern, sign in ((_AT, "@"), (_DOT, ".")):
-        edits = [(m.start(), m.end(), [(sign, m.start(), m.end())]) for m in pattern.finditer(text)]
+    letters = _LETTERS.findall(text.lower())
+    words = set(letters)
+    changed = False
+
+    def apply(edits: list) -> None:
+        nonlocal text, start, end, changed
         if edits:
             if start is None:
                 start, end = list(range(len(text))), list(range(1, len(text) + 1))
             text, start, end = _rewrite(text, start, end, edits)
-    edits = [(m.start(), m.end(), [(DIGITS[d.group().lower()], d.start(), d.end()) for d in _SPELLED_ONE.finditer(text, m.start(), m.end())]) for m in _SPELLED.finditer(text)]
-    if edits:
-        if start is None:
-            start, end = list(range(len(text))), list(range(1, len(text) + 1))
-        text, start, end = _rewrite(text, start, end, edits)
-    return text, start, end
+            changed = True
+
+    if not words.isdisjoint(_DISGUISE_WORDS) or "@" in text and _DISGUISED_AT.search(text) or any(c in text for c in "[({<") and _DISGUISED_DOT.search(text):
+        for pattern, sign in ((_AT, "@"), (_DOT, ".")):
+            apply([(m.start(), m.end(), [(sign, m.start(), m.end())]) for m in pattern.finditer(text)])
+    if not words.isdisjoint(_DIGIT_WORDS) and sum(w in DIGITS for w in letters) >= 6:
+        apply([(m.start(), m.end(), [(DIGITS[d.group().lower()], d.start(), d.end()) for d in _SPELLED_ONE.finditer(text, m.start(), m.end())]) for m in _SPELLED.finditer(text)])
+    return text, start, end, set(_LETTERS.findall(text.lower())) if changed else words
+
+
+def deobfuscate(text: str) -> tuple[str, list[int] | None, list[int] | None]:
+    """(normalised, start, end); the spans are None where nothing was changed."""
+    return _deobfuscated(text)[:3]
 
 
 def is_identity(digits: str) -> bool:
@@ -146,7 +180,7 @@ def find(text: str | None, given: frozenset[str] | set[str], family: frozenset[s
     """(kind, start, end) in source offsets, in reading order, without overlaps."""
     if not text:
         return []
-    norm, start, end = deobfuscate(text)
+    norm, start, end, words = _deobfuscated(text)
     found: list[tuple[str, int, int]] = []
     taken: list[tuple[int, int]] = []
 
@@ -158,7 +192,7 @@ def find(text: str | None, given: frozenset[str] | set[str], family: frozenset[s
     if "@" in norm:
         for m in _EMAIL.finditer(norm):
             offer("email", m.start(), m.end())
-    if any("0" <= c <= "9" for c in norm):
+    if _DIGIT_RUN.search(norm):
         for m in _NPWP.finditer(norm):
             offer("id_number", m.start(), m.end())
         for m in _NIK.finditer(norm):
@@ -168,14 +202,19 @@ def find(text: str | None, given: frozenset[str] | set[str], family: frozenset[s
             n = len(_digits(m.group()))
             if 9 <= n <= (14 if m.group().startswith(("+", "(+")) else 13):
                 offer("phone", m.start(), m.end())
-        for pattern in (_HOUSE_NO, _HOUSE):
-            for m in pattern.finditer(norm):
-                offer("address", m.start(), m.end())
-        for m in _ENGLISH.finditer(norm):
-            if not _PLAIN_WORDS & {w.lower() for w in m.group().split()[1:-1]}:
-                offer("address", m.start(), m.end())
-    taken += [m.span() for m in _LOCAL.finditer(norm)]
-    tokens = list(_WORD.finditer(norm))
+    if _DIGIT.search(norm):
+        if not words.isdisjoint(_STREETS):
+            for pattern in (_HOUSE_NO, _HOUSE):
+                for m in pattern.finditer(norm):
+                    offer("address", m.start(), m.end())
+        if not words.isdisjoint(_ROADS):
+            for m in _ENGLISH.finditer(norm):
+                if not _PLAIN_WORDS & {w.lower() for w in m.group().split()[1:-1]}:
+                    offer("address", m.start(), m.end())
+    tokens = []
+    if not words.isdisjoint(given):
+        taken += [m.span() for m in _LOCAL.finditer(norm)]
+        tokens = list(_WORD.finditer(norm))
     i = 0
     while i < len(tokens):
         t = tokens[i]
@@ -239,10 +278,11 @@ def learn_names(df: DataFrame, text: str = "text", name: str = "name", least: in
         for b in batches:
             for t in b["t"]:
                 if t:
-                    for m in _NAMED.finditer(t):
-                        if m.group(1).lower() not in ROLES:
-                            hit(m.groups())
-                    for w in re.findall(r"(?<![\w@#])[A-Z][a-zà-ÿ]{2,}", t):
+                    if not _NAMING.isdisjoint(_LETTERS.findall(t.lower())):
+                        for m in _NAMED.finditer(t):
+                            if m.group(1).lower() not in ROLES:
+                                hit(m.groups())
+                    for w in _CAPITALISED.findall(t):
                         add(w, 2)
             for t in b["n"]:
                 if t and (m := _DISPLAY.match(t)) and not any(map(str.isdigit, t)):
