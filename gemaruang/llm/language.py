@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,14 +132,18 @@ class Model:
         at = at.astype(np.int64)
         return at, (1 + np.log(tf)) * self.idf[at] if len(at) else np.zeros(0)
 
-    def word(self, word: str) -> tuple[list[float], float]:
-        """(share of each class score, squared length)."""
+    def word(self, word: str) -> tuple[list[float], float, list[float], int, int]:
+        """(share of each class score, squared length, bounded share in a window of six at the temperature, class it prefers, letters)."""
         got = self.cache.get(word)
         if got is None:
             if len(self.cache) > 400_000:
                 self.cache.clear()
             at, x = self.vector(word)
-            got = self.cache[word] = ((x @ self.w[at]).tolist(), float(x @ x)) if len(at) else ([0.0] * self.w.shape[1], 0.0)
+            score, square = ((x @ self.w[at]).tolist(), float(x @ x)) if len(at) else ([0.0] * self.w.shape[1], 0.0)
+            scale = 1.5 / ((math.sqrt(6 * square) or 1.0) * self.temperature)
+            mean = sum(score) / len(score)
+            share = [max(-_WORD_BOUND, min(_WORD_BOUND, (s - mean) * scale)) for s in score]
+            got = self.cache[word] = (score, square, share, share.index(max(share)), sum(map(str.isalpha, word)))
         return got
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -154,19 +159,13 @@ class Model:
     def segments(self, words: list[str], ends: list[bool]) -> list[tuple[int, int, int]]:
         """(first, beyond, class) of the best runs of at least MIN_WORDS words; one run where the text is too short for two."""
         n, classes = len(words), range(self.w.shape[1])
+        if not n:
+            return []
         parts = [self.word(w) for w in words]
-        share = []
-        for score, square in parts:
-            # a word's share at the length of a window of six, as calibrated
-            scale = 1 / ((math.sqrt(6 * square) or 1.0) * self.temperature)
-            mean = sum(score) / len(score)
-            share.append([max(-_WORD_BOUND, min(_WORD_BOUND, (s - mean) * scale * 1.5)) for s in score])
-        total = [0.0] * len(classes)
-        for row in share:
-            for k in classes:
-                total[k] += row[k]
-        one = max(classes, key=lambda k: (total[k], -k))
-        if n < 2 * MIN_WORDS:
+        share = [p[2] for p in parts]
+        total = [sum(column) for column in zip(*share)]
+        one = total.index(max(total))
+        if n < 2 * MIN_WORDS or all(p[3] == one for p in parts):
             return [(0, n, one)]
         # nothing to part where every window of the shortest length prefers the same class
         run = [0.0] * len(classes)
@@ -274,14 +273,18 @@ def train(df: DataFrame, key: str = "row_id", text: str = "text", label: str = "
     Without any labelled row the model knows nothing: every text gets the first language with equal confidence.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), canonical_label(label).alias("l")).filter(F.col("l").isNotNull() & (F.length("t") >= 20))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # spellings of labels are few: they are counted as they are and then read
+    spelled = df.filter(F.length(text) >= 20).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["l"]: r["n"] for r in spelled.select(canonical_label(label).alias("l"), "n").filter(F.col("l").isNotNull()).groupBy("l").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return Model({}, np.zeros(0), np.zeros((0, len(LANGUAGES))), 1.0)
     spot = F.pmod(F.xxhash64("k"), F.lit(1_000_003))
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("l") == lang, F.lit(int(1_000_003 * min(1.0, sample / n)))).otherwise(share)
-    picked = rows.filter(spot < share).orderBy(spot, "k").limit(2 * sample * len(LANGUAGES)).collect()
+    # the hash is tested against the largest share before any label is read
+    largest = int(1_000_003 * min(1.0, sample / min(counts.values())))
+    picked = rows.filter((spot < largest) & (spot < share)).orderBy(spot, "k").limit(2 * sample * len(LANGUAGES)).collect()
     return fit([r["t"] for r in picked], [r["l"] for r in picked])
 
 
@@ -289,32 +292,29 @@ def languages(df: DataFrame, model: Model, key: str = "row_id", text: str = "tex
     """(key, words, lang, confidence, segments) of every row; segments: lang, confidence, words and letters of each run in reading order."""
     shared = df.sparkSession.sparkContext.broadcast((model.vocabulary, model.idf, model.w, model.temperature))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32()), ("letters", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for b in batches:
             count, main, sure, runs = [], [], [], []
-            for t in b["t"]:
+            for t in b.column(1).to_pylist():
                 ws, ends = words_of(t)
-                count.append(len(ws))
-                if not ws:
-                    main.append(None)
-                    sure.append(None)
-                    runs.append([])
-                    continue
                 letters = [0] * len(LANGUAGES)
                 parts = []
                 for i, j, k in m.segments(ws, ends):
-                    n = sum(sum(map(str.isalpha, w)) for w in ws[i:j])
+                    n = sum(m.word(w)[4] for w in ws[i:j])
                     letters[k] += n
                     parts.append({"lang": LANGUAGES[k], "confidence": float(m.probabilities(ws[i:j])[k]), "words": j - i, "letters": n})
-                k = max(range(len(LANGUAGES)), key=lambda c: (letters[c], -c))
-                main.append(LANGUAGES[k])
-                sure.append(max(p["confidence"] for p in parts if p["lang"] == LANGUAGES[k]))
+                top = LANGUAGES[max(range(len(LANGUAGES)), key=lambda c: (letters[c], -c))] if ws else None
+                count.append(len(ws))
+                main.append(top)
+                sure.append(max((p["confidence"] for p in parts if p["lang"] == top), default=None))
                 runs.append(parts)
-            yield pd.DataFrame({"k": b["k"], "words": count, "lang": main, "confidence": sure, "segments": runs})
+            yield pa.record_batch([b.column(0), pa.array(count, pa.int32()), pa.array(main, pa.string()), pa.array(sure, pa.float64()), pa.array(runs, kind)], names=["k", "words", "lang", "confidence", "segments"])
 
     rows = spread(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")))
-    out = rows.mapInPandas(run, "k long, words int, lang string, confidence double, segments array<struct<lang:string,confidence:double,words:int,letters:int>>")
+    out = rows.mapInArrow(run, "k long, words int, lang string, confidence double, segments array<struct<lang:string,confidence:double,words:int,letters:int>>")
     return out.withColumnRenamed("k", key)
 
 
@@ -338,7 +338,7 @@ def wrong_labels(df: DataFrame, model: Model | None = None, key: str = "row_id",
                 runs = m.segments(ws, ends)
                 letters = [0] * len(LANGUAGES)
                 for i, j, k in runs:
-                    letters[k] += sum(sum(map(str.isalpha, w)) for w in ws[i:j])
+                    letters[k] += sum(m.word(w)[4] for w in ws[i:j])
                 main = LANGUAGES[max(range(len(LANGUAGES)), key=lambda c: (letters[c], -c))]
                 if named != main:
                     keys.append(key_)
@@ -349,7 +349,7 @@ def wrong_labels(df: DataFrame, model: Model | None = None, key: str = "row_id",
                         keys.append(key_)
                         segs.append(s)
                         langs.append(LANGUAGES[k])
-            yield pd.DataFrame({"k": keys, "seg": segs, "lang": langs}).astype({"k": "int64", "seg": "int64"})
+            yield pd.DataFrame({"k": pd.Series(keys, dtype="int64"), "seg": pd.Series(segs, dtype="int64"), "lang": pd.Series(langs, dtype=object)})
 
     rows = spread(packed.select("__k", F.col("__s.t").alias("t"), F.col("__s.l").alias("l")))
     return rows.mapInPandas(run, "k long, seg long, lang string").withColumnRenamed("k", key)
