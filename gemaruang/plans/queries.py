@@ -283,19 +283,14 @@ def _wide_columns(spark: SparkSession, d: str) -> list[str]:
     return [r[0] for r in _t(spark, d, "aspects").orderBy("aspect_no").select("aspect_category").collect()]
 
 
-_PIVOT = ("air bersih", "gaji honorer", "mitra industri")
-
-
 @query(
-    "WITH l AS (SELECT id, aspect_category, arg_max(sentiment_prob, pred_id) AS p FROM absa_predictions WHERE aspect_category IN "
-    + str(_PIVOT)
-    + " AND sentiment_prob IS NOT NULL GROUP BY ALL) SELECT c.id, "
-    + ", ".join(f"coalesce(max(p) FILTER (WHERE aspect_category = '{a}'), '') AS \"{a}\"" for a in _PIVOT)
-    + ", coalesce(c.community::VARCHAR, '') AS community FROM (SELECT row_id, id, community FROM community_input) c LEFT JOIN l ON c.id = l.id GROUP BY c.row_id, c.id, c.community"
+    """SELECT c.id, coalesce(c.community::VARCHAR, '') AS community, coalesce(COLUMNS(w.* EXCLUDE (id)), '') FROM community_input c
+LEFT JOIN (PIVOT (SELECT id, aspect_category, arg_max(sentiment_prob, pred_id) AS p FROM absa_predictions SEMI JOIN aspects USING (aspect_category) WHERE sentiment_prob IS NOT NULL GROUP BY ALL) ON aspect_category USING max(p) GROUP BY id) w ON w.id = c.id"""
 )
 def absa_pivot(spark, d):
-    p = _t(spark, d, "absa_predictions").filter(F.col("aspect_category").isin(*_PIVOT) & F.col("sentiment_prob").isNotNull()).withColumnRenamed("pred_id", "ord")
-    return tables.pivot_aspects(p, _t(spark, d, "community_input"))
+    """Predictions that are spelled as in the reference list; typed ones differ by case only and could not be columns side by side."""
+    p = _t(spark, d, "absa_predictions").join(_t(spark, d, "aspects").select("aspect_category"), "aspect_category", "left_semi")
+    return tables.pivot_aspects(p.filter(F.col("sentiment_prob").isNotNull()).withColumnRenamed("pred_id", "ord"), _t(spark, d, "community_input"))
 
 
 @query(
@@ -537,7 +532,8 @@ def dp_sentiment(spark, d):
 def _answers(spark: SparkSession, d: str, form: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Answers as a model would give them, made from the predictions: one for each batch of ten."""
     p = _t(spark, d, "absa_predictions").filter("text is not null and aspect_category is not null and sentiment_prob is not null").select("pred_id", "id", "text", "aspect_category", "sentiment_prob").withColumn("ord", F.col("pred_id"))
-    batched = responses.batches(p.filter(~F.col("text").contains("\n")), 10)
+    # a model repeats a text on one line
+    batched = responses.batches(p.withColumn("text", F.regexp_replace("text", r"[\r\n]+", " ")), 10)
     probs = F.regexp_replace("sentiment_prob", r"[\[\]]", "")
     if form == "structured":
         block = F.format_string("Tweet: %s\nAspect: %s\nSentiment: [%s]", F.col("text"), F.col("aspect_category"), probs)

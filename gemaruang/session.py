@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local["):
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="gemaruang-checkpoint-")
     sc.setCheckpointDir(named)
@@ -62,11 +62,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores before per-row Python work: a file too small to be split would keep one task busy.
 
-    Only plans with fewer input partitions than cores are repartitioned (round robin, so no key can be hot).
+    Only plain reads with fewer partitions than cores are repartitioned (round robin, so no key can be hot). Plans that
+    shuffle are left as they are; asking them for their partitions would run them.
     """
+    if re.search(r"\b(Join|Aggregate|Window|Sort|Repartition\w*|Generate|Limit)\b", df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = core_count(df.sparkSession)
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def cpu_env() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
