@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gemaruang.functions.text import WS
-from gemaruang.session import spread
+from gemaruang.session import cut, spread
 
 LEVELS = 4
 COMMON = 1e-4
@@ -200,7 +200,8 @@ def fit_levels(feats: DataFrame, labels: DataFrame, scales: dict, key: str = "do
 
 def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 60) -> DataFrame:
     """(key, reading_level, confidence) of each document of at least ``least_words`` words; without labels no document has a level."""
-    feats = document_features(docs, common_words(docs, text), key, text)
+    # scales, fit and grading all read the features: they are computed once
+    feats = cut(document_features(docs, common_words(docs, text), key, text))
     scales = language_scales(feats)
     model = fit_levels(feats, labels, scales, key)
     schema = f"`{key}` long, reading_level int, confidence double"
