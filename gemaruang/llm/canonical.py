@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gemaruang.session import spread
+from gemaruang.session import cut, spread
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOK_ALIKES = {
@@ -108,7 +108,7 @@ def look_alike_classes(df: DataFrame, key: str = "row_id", text: str = "text") -
 
     Texts are counted before they are shuffled whole: exact copies are pre-aggregated per task by their digests.
     """
-    rows = _keys(df, key, text)
+    rows = cut(_keys(df, key, text))
     variants = rows.groupBy("class_key", "text_key").agg(F.min("k").alias("variant_id"))
     classes = variants.groupBy("class_key").agg(F.min("variant_id").alias("class_id"), F.count(F.lit(1)).alias("variants"))
     return rows.join(variants, ["class_key", "text_key"]).join(classes, "class_key").select(F.col("k").alias(key), "class_id", "variant_id", "variants")
@@ -120,7 +120,8 @@ def look_alike_pairs(df: DataFrame, key: str = "row_id", text: str = "text") ->
     Two different texts of one class cannot both be in the one form, so each pair has a row that the fold changed: only those
     rows look for partners. The other side is the whole table as digests of 16 bytes; a hot class is split by adaptive execution.
     """
-    rows = _keys(df, key, text)
+    # both sides read the digests: the texts are folded once
+    rows = cut(_keys(df, key, text))
     left = rows.filter("changed").select(F.col("k").alias("a"), "class_key", F.col("text_key").alias("ta"))
     right = rows.select(F.col("k").alias("b"), "class_key", F.col("text_key").alias("tb"), F.col("changed").alias("b_changed"))
     # a pair of two changed rows is met from both sides; it is kept where a is the smaller
