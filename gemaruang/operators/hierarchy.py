@@ -3,9 +3,9 @@
 Each node has at most one parent, so the graph is a forest in which some trees may hang below a cycle.
 
 1. *Components.* Pointer doubling: every node keeps a pointer ``2**k`` steps up, the steps taken and the smallest
-   proper ancestor passed. A node that is its own smallest proper ancestor is the smallest node of a cycle; the cycle is
-   cut there, which makes it a root like any other. After ``log2(depth)`` rounds all pointers are roots: the
-   component labels. Nodes that reached a root leave the join, so a hot root is never a join key again.
+   proper ancestor passed. A node that is its own smallest proper ancestor is the smallest node of a cycle, which is
+   cut there. After ``log2(depth)`` rounds all pointers are roots or cut nodes: the component labels. Nodes that are done
+   leave the rounds, so a hot root is never a join key.
 2. *Co-location.* Components of at most ``max_component`` nodes are packed into tasks and walked by an iterative
    depth-first traversal with node colours (white, grey, black); a back edge to a grey node is a cycle.
 3. *Larger components* never meet in one task: root and depth come from step 1, which has them already, and
@@ -45,42 +45,55 @@ def parent_links(df: DataFrame, id_col: str = "id", parent_col: str = "in_reply_
     return nodes.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"))
 
 
-def _walk(links: DataFrame) -> DataFrame:
-    """(node, parent, up, steps, cut): ``up`` is the root reached after ``steps``; ``cut`` marks the nodes at which cycles were cut.
+def _settle(rows: DataFrame) -> DataFrame:
+    """Cut the cycles that the open rows have come round, and finish all open rows whose least ancestor lies on one.
 
-    Pointers that were drawn before a cut may have jumped over it, so the open ones start again from their parents;
-    cycles of up to ``2**k`` nodes are cut in round k, so there are at most log2(nodes) such starts.
+    A node that is its own least proper ancestor is the least node of a cycle. Whoever has it as least ancestor is in its component.
     """
-
-    def settle(rows: DataFrame) -> DataFrame:
-        # the smallest node of a cycle is its own least proper ancestor: it becomes a root
-        new = ~F.col("done") & F.coalesce(F.col("least") == F.col("node"), F.lit(False))
-        return rows.select(
-            "node", "parent", F.when(new, F.col("node")).otherwise(F.col("up")).alias("up"), F.when(new, 0).otherwise(F.col("steps")).alias("steps"),
-            "least", (F.col("done") | new).alias("done"), (F.col("cut") | new).alias("cut"), new.alias("new"),
-        )
-
-    root = F.col("parent").isNull()
-    state = cut(
-        settle(
-            links.select(
-                "node", "parent", F.coalesce("parent", "node").alias("up"), F.when(root, 0).otherwise(1).cast("long").alias("steps"),
-                F.col("parent").alias("least"), root.alias("done"), F.lit(False).alias("cut"),
-            )
+    rows = cut(rows)
+    found = rows.filter(~F.col("done") & (F.col("least") == F.col("node"))).select(F.col("node").alias("least"), F.lit(True).alias("looped"))
+    if found.isEmpty():
+        return rows
+    met = ~F.col("done") & F.coalesce("looped", F.lit(False))
+    joined = rows.join(found, "least", "left")
+    return cut(
+        joined.select(
+            "node", "parent", F.when(met, F.col("least")).otherwise(F.col("up")).alias("up"), "steps", "least", (F.col("done") | met).alias("done"), (met & (F.col("least") == F.col("node"))).alias("cut"),
         )
     )
+
+
+def _walk(links: DataFrame) -> DataFrame:
+    """(node, parent, up, steps, cut): ``up`` is the root reached after ``steps``; ``cut`` marks the nodes at which cycles were cut, which are the ``up`` of their components.
+
+    A row is done when its pointer is a root. An open row's next pointer is that of its target, so the targets of a round are
+    among those of the round before: the pool of rows that can be asked shrinks with the open ones, and only the first rounds are as
+    large as the table.
+    """
+    links = cut(links)
+    roots = links.filter(F.col("parent").isNull()).select("node", "parent", F.col("node").alias("up"), F.lit(0).cast("long").alias("steps"), F.lit(False).alias("cut"))
+    above = links.select(F.col("node").alias("parent"), F.col("parent").isNull().alias("done"))
+    state = links.join(above, "parent").select(
+        "node", "parent", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("parent").alias("least"), "done", F.lit(False).alias("cut")
+    )
+    state = _settle(state)
+    pool, finished = state, [roots]
     while True:
-        left = state.agg(F.count_if(~F.col("done")).alias("open"), F.count_if("new").alias("new")).first()
-        if not left["open"]:
-            return state
-        if left["new"]:
-            again = ~F.col("done")
-            state = state.withColumns({"up": F.when(again, F.col("parent")).otherwise(F.col("up")), "steps": F.when(again, 1).otherwise(F.col("steps")), "least": F.when(again, F.col("parent")).otherwise(F.col("least"))})
-        target = state.select(F.col("node").alias("up"), F.col("up").alias("t_up"), F.col("steps").alias("t_steps"), F.col("least").alias("t_least"), F.col("done").alias("t_done"))
-        moved = state.filter(~F.col("done")).join(target, "up", "left").select(
+        finished.append(state.filter("done").select("node", "parent", "up", "steps", "cut"))
+        open_rows = state.filter(~F.col("done"))
+        if open_rows.isEmpty():
+            break
+        target = pool.select(F.col("node").alias("up"), F.col("up").alias("t_up"), F.col("steps").alias("t_steps"), F.col("least").alias("t_least"), F.col("done").alias("t_done"))
+        moved = open_rows.join(target, "up").select(
             "node", "parent", F.col("t_up").alias("up"), (F.col("steps") + F.col("t_steps")).alias("steps"), F.least("least", "t_least").alias("least"), F.col("t_done").alias("done"), "cut",
         )
-        state = cut(state.filter("done").withColumn("new", F.lit(False)).unionByName(settle(moved)))
+        asked = open_rows.select(F.col("up").alias("node")).distinct()
+        state = _settle(moved)
+        pool = cut(state.unionByName(pool.filter("done")).join(asked, "node", "left_semi"))
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _dfs(ids: list[str], parents: list[str | None]) -> tuple[list[str], list[int], list[int]]:
