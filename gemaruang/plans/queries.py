@@ -692,8 +692,8 @@ b AS (SELECT run, a, b, sum(CASE WHEN q > 0 AND s > 0 THEN s / q ELSE 0 END) / c
 nulls AS (SELECT run::INT AS run, (SELECT avg(cc) FROM w WHERE w.run = r.run) / (SELECT avg(cc) FROM b WHERE b.run = r.run) AS ecr FROM runs r)"""
 
 
-def _null(spark: SparkSession, d: str) -> DataFrame:
-    return nulls.attribute_null(*_event_vectors(spark, d, 100, (160, 120)), runs=NULL_RUNS)
+def _null(spark: SparkSession, d: str, runs: int = NULL_RUNS) -> DataFrame:
+    return nulls.attribute_null(*_event_vectors(spark, d, 100, (160, 120)), runs=runs)
 
 
 @query(f"WITH {_NULL} SELECT run, round(ecr, 6) AS ecr FROM nulls")
@@ -709,13 +709,13 @@ def null_stats(spark, d):
 
 @query()
 def null_histogram(spark, d):
-    return nulls.null_histogram(_null(spark, d))
+    return nulls.null_histogram(_null(spark, d, 100))
 
 
 @query()
 def null_topology(spark, d):
-    """Rewired reply trees of the tweets with aspect vectors; few runs keep the query short."""
+    """The whole interaction graph, rewired; users are the tweets with aspect vectors."""
     t = _tweets(spark, d)
     p = _t(spark, d, "absa_predictions").filter("sentiment_prob is not null").withColumnRenamed("pred_id", "ord")
     vectors = tables.long_aspects(p, _t(spark, d, "community_input").select("id", "community").distinct()).select("id", "aspect", "vec").filter(F.size("vec") == 3)
-    return nulls.topology_null(graph.reply_edges(t, (4,)), vectors, runs=2, swaps_per_edge=2)
+    return nulls.topology_null(graph.reply_edges(t), vectors)

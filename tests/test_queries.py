@@ -28,6 +28,15 @@ def test_corpus_query_matches_sql(spark, name):
     assert a == b
 
 
+def test_null_queries_are_whole(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(queries.nulls, "topology_null", lambda edges, vectors, **k: asked.update(k, edges=edges.count()))
+    queries.QUERIES["null_topology"](spark, str(SMALL))
+    every = queries.graph.reply_edges(queries._tweets(spark, str(SMALL))).count()
+    assert asked == {"edges": every}
+    assert sum(r["runs"] for r in queries.QUERIES["null_histogram"](spark, str(SMALL)).collect()) == 100
+
+
 def test_contract(spark):
     import __spark_entry__ as e
 
