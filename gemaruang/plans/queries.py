@@ -387,13 +387,13 @@ def partition_modularity(spark, d):
 @query()
 def louvain_communities(spark, d):
     t = _tweets(spark, d)
-    return communities.louvain(t, graph.reply_edges(t, (4,)))
+    return communities.louvain(t, graph.reply_edges(t))
 
 
 @query()
 def balanced_communities(spark, d):
     t = _tweets(spark, d)
-    return communities.balanced_parts(t, graph.reply_edges(t, (4,)), 4)
+    return communities.balanced_parts(t, graph.reply_edges(t), 4)
 
 
 @query("SELECT id, ((row_number() OVER (ORDER BY id) - 1) % 3)::INT AS community FROM (SELECT DISTINCT id FROM community_input WHERE id IS NOT NULL)")

@@ -37,6 +37,16 @@ def test_null_queries_are_whole(spark, monkeypatch):
     assert sum(r["runs"] for r in queries.QUERIES["null_histogram"](spark, str(SMALL)).collect()) == 100
 
 
+def test_communities_use_all_rules(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries.communities, "louvain", lambda t, edges: asked.append(edges.count()))
+    monkeypatch.setattr(queries.communities, "balanced_parts", lambda t, edges, k: asked.append(edges.count()))
+    queries.QUERIES["louvain_communities"](spark, str(SMALL))
+    queries.QUERIES["balanced_communities"](spark, str(SMALL))
+    every = queries.graph.reply_edges(queries._tweets(spark, str(SMALL))).count()
+    assert asked == [every, every]
+
+
 def test_contract(spark):
     import __spark_entry__ as e
 
