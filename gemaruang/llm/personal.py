@@ -8,8 +8,8 @@ their spans are mapped back to the source.
 Kinds: email, phone, id_number, address, name. Numbers of identity are checked for a birth date; of overlapping finds the
 earlier kind in ``KINDS`` wins. Names of people have no form of their own, so their words are learned from the corpus: words in
 the places where names stand (after forms of address, "nama saya", "penerima", ... and whole display names) are
-counted over all rows; one that stands there often enough becomes a given or a family name. The kept share is relative, which bounds the
-lexicon at ``1 / LEAST_SHARE`` words whatever the corpus.
+counted over all rows; one that stands there often enough becomes a given or a family name, however large the corpus is. Full names
+after a form of address or an announcer are found where they stand, without the lexicon.
 
 Null and empty texts have no items; texts of any length are read whole; repeated items of a field are given once.
 """
@@ -29,7 +29,10 @@ from gemaruang.session import spread
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-LEAST_SHARE = 1e-5
+
+#: Any capital or small letter, whatever its alphabet, as parts of a character class.
+_UPPER = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Lu", "Lt"))
+_LOWER = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Ll", "Lo", "Lm"))
 
 #: Spelled digits, forms of address, words that announce a name, roles that follow a form of address (fixed values).
 DIGITS = {
@@ -69,25 +72,27 @@ _PLAIN_WORDS = frozenset("the a an of on in at to near our my your people from a
 _WORD = re.compile(r"(?<![\w@#.+-])[^\W\d_]{2,}(?:-[^\W\d_]{2,})?(?![\w@])")
 _LOCAL = re.compile(r"https?://\S+|(?<!\w)[@#]\w[\w.]*")
 
+_CAPITAL = rf"[{_UPPER}][{_LOWER}]+"
 _FORM = r"(?:" + "|".join(sorted(map(re.escape, ADDRESS_FORMS), key=len, reverse=True)) + r")"
 _NAMED = re.compile(
     r"(?<!\w)(?:(?i:" + "|".join(sorted(map(re.escape, ANNOUNCERS), key=len, reverse=True)) + r")\s+(?:(?i:" + _FORM + r")\b\.?\s+)?|(?i:" + _FORM + r")\b\.?\s+)"
-    r"([A-Z][a-zà-ÿ]{2,})(?:\s+[A-Z]\.)?\s+([A-Z][a-zà-ÿ]{2,})(?:-([A-Z][a-zà-ÿ]{2,}))?(?!\w)"
+    rf"({_CAPITAL})(?:\s+[{_UPPER}]\.)?\s+({_CAPITAL})(?:-({_CAPITAL}))?(?!\w)"
 )
-_DISPLAY = re.compile(r"^\W*(?:(?i:" + _FORM + r")\b\.?\s+)?([A-Z][a-zà-ÿ]{2,})(?:\s+[A-Z]\.)?\s+([A-Z][a-zà-ÿ]{2,})(?:-([A-Z][a-zà-ÿ]{2,}))?(?:\s*\([^)]*\))?\W*$")
+_DISPLAY = re.compile(r"^\W*(?:(?i:" + _FORM + rf")\b\.?\s+)?({_CAPITAL})(?:\s+[{_UPPER}]\.)?\s+({_CAPITAL})(?:-({_CAPITAL}))?(?:\s*\([^)]*\))?\W*$")
 _BEFORE_FORM = re.compile(r"(?:^|[^\w])" + _FORM + r"\.?\s+$", re.I)
 _CLUSTER = re.compile("[^̀-ͯ]?[̀-ͯ]*", re.S)
 
 # what must be in a text before a detector can find anything; each test lets through all that its detector needs
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT_WORDS = frozenset(DIGITS)
-_CAPITALISED = re.compile(r"(?<![\w@#])[A-Z][a-zà-ÿ]{2,}")
+_CAPITALISED = re.compile(rf"(?<![\w@#]){_CAPITAL}")
 _DIGIT = re.compile("[0-9]")
 _DIGIT_RUN = re.compile(r"[0-9][0-9 .\-()]{7,}")
 _DISGUISE_WORDS = frozenset(("at", "dot", "titik"))
 _DISGUISED_AT = re.compile(r"@\s|\s@|[\[({<]\s*@")
 _DISGUISED_DOT = re.compile(r"[\[({<]\s*\.")
 _NAMING = frozenset(ADDRESS_FORMS) | {re.match(r"[^\W\d_]+", a).group() for a in ANNOUNCERS}
+_NAMING_WORDS = frozenset(ADDRESS_FORMS) | {w for a in ANNOUNCERS for w in re.findall(r"[^\W\d_]+", a)}
 _STREETS = frozenset("jalan jln jl gang gg perumahan perum kompleks komplek kompl lorong dusun kampung kp calle avenida".split())
 _ROADS = frozenset("street st road rd lane ln avenue ave drive boulevard".split())
 
@@ -183,6 +188,7 @@ def find(text: str | None, given: frozenset[str] | set[str], family: frozenset[s
     norm, start, end, words = _deobfuscated(text)
     found: list[tuple[str, int, int]] = []
     taken: list[tuple[int, int]] = []
+    direct: list[tuple[int, int]] = []
 
     def offer(kind: str, a: int, b: int) -> None:
         if all(b <= x or a >= y for x, y in taken):
@@ -211,6 +217,10 @@ def find(text: str | None, given: frozenset[str] | set[str], family: frozenset[s
             for m in _ENGLISH.finditer(norm):
                 if not _PLAIN_WORDS & {w.lower() for w in m.group().split()[1:-1]}:
                     offer("address", m.start(), m.end())
+    if not words.isdisjoint(_NAMING):
+        for m in _NAMED.finditer(norm):
+            if not {m.group(1).lower(), m.group(2).lower()} & (ROLES | _NAMING_WORDS):
+                direct.append((m.start(1), m.end(3) if m.group(3) else m.end(2)))
     tokens = []
     if not words.isdisjoint(given):
         taken += [m.span() for m in _LOCAL.finditer(norm)]
@@ -240,6 +250,9 @@ def find(text: str | None, given: frozenset[str] | set[str], family: frozenset[s
         if named:
             offer("name", t.start(), last)
         i = j
+    # what the lexicon finds comes first: it may know a longer name
+    for a, b in direct:
+        offer("name", a, b)
     found.sort(key=lambda f: f[1])
     if start is not None:
         found = [(k, start[a], end[b - 1]) for k, a, b in found]
@@ -260,7 +273,7 @@ def redact(text: str | None, given: set[str], family: set[str]) -> str | None:
 def learn_names(df: DataFrame, text: str = "text", name: str = "name", least: int = 2, least_ratio: float = 0.1) -> tuple[frozenset[str], frozenset[str]]:
     """(given, family): words that stand where names stand, over all rows.
 
-    A word needs ``least`` such places, a share of ``LEAST_SHARE`` of all such places, and ``least_ratio`` of its own capitalised occurrences.
+    A word needs ``least`` such places and ``least_ratio`` of its own capitalised occurrences.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,11 +312,10 @@ def learn_names(df: DataFrame, text: str = "text", name: str = "name", least: in
     counted = spread(rows).mapInPandas(run, "word string, given long, family long, seen long").groupBy("word").agg(F.sum("given").alias("given"), F.sum("family").alias("family"), F.sum("seen").alias("seen"))
     counted = counted.filter((F.col("given") > 0) | (F.col("family") > 0)).cache()
     try:
-        total = counted.agg(F.sum("given").alias("g"), F.sum("family").alias("f")).first()
         parts = []
-        for kind, whole in (("given", total["g"] or 0), ("family", total["f"] or 0)):
+        for kind in ("given", "family"):
             n = F.col(kind)
-            kept = counted.filter((n >= max(least, whole * LEAST_SHARE)) & (n >= least_ratio * F.col("seen")))
+            kept = counted.filter((n >= least) & (n >= least_ratio * F.col("seen")))
             parts.append(frozenset(r["word"] for r in kept.select("word").collect()))
     finally:
         counted.unpersist()

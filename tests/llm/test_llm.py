@@ -235,6 +235,15 @@ def test_spans_cover_the_source(s):
         assert len(norm) == len(start) == len(end) and all(0 <= a < b <= len(s) for a, b in zip(start, end)) and start == sorted(start)
 
 
+def test_names_in_place_need_no_lexicon():
+    for text, want in (("Nama saya Zulmira Quandorf.", "Zulmira Quandorf"), ("kata Pak Öznur Łukas", "Öznur Łukas"), ("Nama saya Ang Li", "Ang Li")):
+        assert [(k, text[a:b]) for k, a, b in personal.find(text, frozenset(), frozenset())] == [("name", want)]
+
+
+def test_announcers_are_no_names():
+    assert personal.find("Nama Saya Harus diperbaiki", frozenset(), frozenset()) == []
+
+
 def test_names_are_learned(spark):
     rows = [(i, f"Hubungi Pak {g} {f} di kantor. Nama saya {g} {f}, warga.", None) for i, (g, f) in enumerate([("Surati", "Harjowono"), ("Arumdani", "Lubisan")] * 3)]
     df = spark.createDataFrame([*rows, (90, "Bu Guru sudah tanya. Saksinya Surati Lubisan.", "Arumdani Harjowono (admin)")], "row_id long, text string, name string")
