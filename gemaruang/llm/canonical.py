@@ -38,7 +38,7 @@ _FOLD: dict[int, str] = {ord(a): b for seen, meant in LOOK_ALIKES.values() for a
 _FOLD |= {0x0340: "̀", 0x0341: "́", 0x0343: "̓"}
 
 #: Everything the quick check can pass over: ASCII and Latin letters in composed form, without the soft hyphen and the no-break space.
-CANDIDATE = re.compile("(?:[^\\W\\d_]|[\x20-\x7e])?[^\x00-\x9f\xa1-\xac\xae-İĲ-ɏ]+|[\xa0\xad]+")
+CANDIDATE = re.compile("(?:[^\\W\\d_]|[\x20-\x7e])?[^\x00-\x9f\xa1-\xac\xae-İĴ-ɏ]+|[\xa0\xad]+")
 _KEEP_JOINER = 0x200D
 
 

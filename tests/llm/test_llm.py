@@ -235,6 +235,13 @@ def test_spans_cover_the_source(s):
         assert len(norm) == len(start) == len(end) and all(0 <= a < b <= len(s) for a, b in zip(start, end)) and start == sorted(start)
 
 
+def test_quick_check_misses_no_character():
+    from gemaruang.llm.canonical import CANDIDATE, fold_segment
+
+    every = (chr(o) for o in range(0x110000) if not 0xD800 <= o < 0xE000)
+    assert [hex(ord(c)) for c in every if not CANDIDATE.search(c) and fold_segment(c) != c] == []
+
+
 def test_names_in_place_need_no_lexicon():
     for text, want in (("Nama saya Zulmira Quandorf.", "Zulmira Quandorf"), ("kata Pak Öznur Łukas", "Öznur Łukas"), ("Nama saya Ang Li", "Ang Li")):
         assert [(k, text[a:b]) for k, a, b in personal.find(text, frozenset(), frozenset())] == [("name", want)]
