@@ -109,28 +109,28 @@ def evolve(sizes: list[int], seeds: list[Bins], capacity: int, rng: random.Rando
 
 
 def _rounds(items: DataFrame, districts: int, capacity: int) -> DataFrame:
-    """(district, bin, k, part, size): items packed within districts by islands with migration."""
+    """(district, bin, item, k, part, size): items packed within districts by islands with migration; ``item`` is a row's own number, as keys may be repeated."""
     placed = items.withColumn("district", F.pmod(F.xxhash64("k", "part"), F.lit(districts))).withColumn("seed", F.lit(0)).withColumn("bin", F.lit(-1))
-    schema = "district long, island int, seed int, bin int, k long, part int, size int"
+    schema = "district long, island int, seed int, bin int, item long, k long, part int, size int"
 
     def epoch(number: int):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             district, island = int(key[0]), int(key[1])
-            own = pdf.drop_duplicates(["k", "part"]).sort_values(["k", "part"])
-            at = {x: i for i, x in enumerate(zip(own["k"], own["part"]))}
+            own = pdf.drop_duplicates(["item"]).sort_values(["k", "part", "item"])
+            at = {x: i for i, x in enumerate(own["item"])}
             sizes = own["size"].tolist()
             seeds = []
             for _, s in pdf[pdf["bin"] >= 0].groupby("seed", sort=True):
                 bins: dict[int, list[int]] = {}
-                for b, k, p in zip(s["bin"], s["k"], s["part"]):
-                    bins.setdefault(b, []).append(at[k, p])
+                for b, x in zip(s["bin"], s["item"]):
+                    bins.setdefault(b, []).append(at[x])
                 seeds.append(list(bins.values()))
             bins = evolve(sizes, seeds, capacity, random.Random(f"{district}/{island}/{number}"))
             of = [0] * len(sizes)
             for b, members in enumerate(bins):
                 for i in members:
                     of[i] = b
-            return pd.DataFrame({"district": district, "island": island, "seed": island, "bin": of, "k": own["k"], "part": own["part"], "size": own["size"]})
+            return pd.DataFrame({"district": district, "island": island, "seed": island, "bin": of, "item": own["item"], "k": own["k"], "part": own["part"], "size": own["size"]})
 
         return run
 
@@ -139,30 +139,30 @@ def _rounds(items: DataFrame, districts: int, capacity: int) -> DataFrame:
         if number:
             # the elite stays and also goes to the next island
             state = state.withColumn("island", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)))))
-        state = state.select("district", "island", "seed", "bin", "k", "part", "size").groupBy("district", "island").applyInPandas(epoch(number), schema)
+        state = state.select("district", "island", "seed", "bin", "item", "k", "part", "size").groupBy("district", "island").applyInPandas(epoch(number), schema)
 
     def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fills = pdf.groupby(["island", "bin"])["size"].sum().reset_index()
         score = (fills["size"] / capacity).pow(2).groupby(fills["island"]).mean()
         best = score.index[score.to_numpy().argmax()]
-        return pdf.loc[pdf["island"] == best, ["district", "bin", "k", "part", "size"]]
+        return pdf.loc[pdf["island"] == best, ["district", "bin", "item", "k", "part", "size"]]
 
-    return state.groupBy("district").applyInPandas(choose, "district long, bin int, k long, part int, size int")
+    return state.groupBy("district").applyInPandas(choose, "district long, bin int, item long, k long, part int, size int")
 
 
 def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, district_items: int = DISTRICT, poor: float = 0.985) -> DataFrame:
     """(container, key, part, size) of every item with a positive size; parts count from 0 and only items above ``capacity`` have several."""
-    rows = sizes.select(F.col(key).cast("long").alias("k"), F.col(size).cast("int").alias("n")).filter(F.col("n") > 0)
+    rows = cut(sizes.select(F.col(key).cast("long").alias("k"), F.col(size).cast("int").alias("n")).filter(F.col("n") > 0).withColumn("item", F.monotonically_increasing_id()))
     full = F.floor(F.col("n") / capacity).cast("int")
-    whole = rows.filter(full > 0).select("k", F.explode(F.sequence(F.lit(0), full - 1)).alias("part"), F.lit(capacity).alias("size"))
-    alone = whole.select(F.concat_ws("-", F.lit("full"), "k", "part").alias("container"), F.col("k").alias(key), "part", "size")
-    items = cut(rows.filter(F.col("n") % capacity > 0).select("k", full.alias("part"), (F.col("n") % capacity).alias("size")))
+    whole = rows.filter(full > 0).select("item", "k", F.explode(F.sequence(F.lit(0), full - 1)).alias("part"), F.lit(capacity).alias("size"))
+    alone = whole.select(F.concat_ws("-", F.lit("full"), "k", "part", "item").alias("container"), F.col("k").alias(key), "part", "size")
+    items = rows.filter(F.col("n") % capacity > 0).select("item", "k", full.alias("part"), (F.col("n") % capacity).alias("size"))
     districts = max(1, round(items.count() / district_items))
     first = cut(_rounds(items, districts, capacity))
     fills = first.groupBy("district", "bin").agg(F.sum("size").alias("fill"))
     marked = first.join(fills, ["district", "bin"])
     good = marked.filter(F.col("fill") >= poor * capacity)
-    rest = marked.filter(F.col("fill") < poor * capacity).select("k", "part", "size")
+    rest = marked.filter(F.col("fill") < poor * capacity).select("item", "k", "part", "size")
     again = _rounds(rest, max(1, round(districts / 20)), capacity) if districts > 1 else marked.filter(F.col("fill") < poor * capacity)
 
     def named(df: DataFrame, stage: str) -> DataFrame:

@@ -147,6 +147,15 @@ def test_packing(spark):
     assert again == {tuple(r) for r in got}
 
 
+def test_packing_keeps_repeated_rows(spark):
+    rows = [(1, 30), (1, 30), (1, 40), (2, 250), (2, 250), (3, 70)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens int"), capacity=100).collect()
+    fills = {}
+    for r in packed:
+        fills[r["container"]] = fills.get(r["container"], 0) + r["size"]
+    assert sum(fills.values()) == sum(n for _, n in rows) and max(fills.values()) <= 100
+
+
 def test_crossover_keeps_items():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(60)]
