@@ -7,7 +7,7 @@ distance and then by the entry's frequency. The dictionary works on words as wel
 that swapped, abbreviated, run-together and affixed words are found too: each word of an entry must be met by one typed word.
 
 Costs: transposition and doubled letters 0.6, a vowel lost 0.5, any other edit 1. A value is accepted where its cost stays
-below ``TOLERANCE`` of the entry's length; values of equal cost and frequency go to the smaller entry number.
+below ``TOLERANCE`` of the entry's length and below ``MOST_COST``, and the cheapest such entry is taken; values of equal cost and frequency go to the smaller entry number.
 
 Null and blank values are no cases; what matches nothing gets entry number 0.
 """
@@ -29,6 +29,7 @@ from gemaruang.session import core_count, shuffle_partitions
 
 MAX_DELETES = 2
 TOLERANCE = 0.34
+MOST_COST = 4.0
 #: Words that people put before a topic, and the Indonesian endings that do not change it (fixed values).
 FILLERS = frozenset({"soal", "aspek", "tentang", "topik", "kategori", "masalah", "hal"})
 ENDINGS = ("nya", "ny")
@@ -89,6 +90,7 @@ class Mapper:
         for w in self.vocabulary:
             for d in deletes(w):
                 self.words[d].add(w)
+        self.longest = max((len("".join(ws)) for ws in self.names.values()), default=0)
         self.cache: dict[str, int] = {}
 
     @staticmethod
@@ -149,23 +151,19 @@ class Mapper:
         """Least cost of meeting each word of entry ``n`` by one token, in any order; tokens left over cost their length."""
         words = self.names[n]
         costs = [self.word_costs(t, c) for t, c in tokens]
-        best = 99.0
-
-        def go(i: int, used: int, cost: float) -> None:
-            nonlocal best
-            if cost >= best:
-                return
-            if i == len(words):
-                rest = sum(0.2 if self.filler(tokens[k][0]) else 1.0 * len(tokens[k][0]) for k in range(len(tokens)) if not used >> k & 1)
-                best = min(best, cost + rest)
-                return
-            for k in range(len(tokens)):
-                if not used >> k & 1 and words[i] in costs[k]:
-                    go(i + 1, used | 1 << k, cost + costs[k][words[i]] + (0.05 if k != i else 0))
-
-        if len(tokens) <= 12:
-            go(0, 0, 0.0)
-        return best
+        # words met so far, as bits -> least cost; tokens are taken one after another
+        states = {0: 0.0}
+        for k, (token, _) in enumerate(tokens):
+            rest = 0.2 if self.filler(token) else 1.0 * len(token)
+            after = {used: cost + rest for used, cost in states.items()}
+            for i, word in enumerate(words):
+                if word in costs[k]:
+                    step = costs[k][word] + (0.05 if k != i else 0)
+                    for used, cost in states.items():
+                        if not used >> i & 1 and cost + step < after.get(used | 1 << i, 99.0):
+                            after[used | 1 << i] = cost + step
+            states = after
+        return min(99.0, states.get((1 << len(words)) - 1, 99.0))
 
     def match(self, value: str) -> int:
         """The entry meant, or 0."""
@@ -189,8 +187,9 @@ class Mapper:
         for f in FILLERS:
             if squeezed.startswith(f) and len(squeezed) > len(f) + 4:
                 forms.setdefault(squeezed[len(f) :], 0.2)
-        if len(squeezed) <= 80:
-            for form, extra in forms.items():
+        for form, extra in forms.items():
+            # longer forms share no deletes with any entry
+            if len(form) <= self.longest + MAX_DELETES:
                 for d in deletes(form):
                     for n in self.whole.get(d, ()):
                         costs[n] = min(costs.get(n, 99.0), distance(form, "".join(self.names[n])) + extra)
@@ -198,8 +197,8 @@ class Mapper:
         for n in met:
             costs[n] = min(costs.get(n, 99.0), self._assign(tokens, n))
         ranked = sorted((c, -self.frequency.get(n, 0), n) for n, c in costs.items())
-        for cost, _, n in ranked[:1]:
-            if cost <= TOLERANCE * len("".join(self.names[n])) and cost <= 4.0:
+        for cost, _, n in ranked:
+            if cost <= TOLERANCE * len("".join(self.names[n])) and cost <= MOST_COST:
                 return n
         return 0
 

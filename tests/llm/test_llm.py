@@ -181,6 +181,13 @@ def test_mapping(aspects, typed, want):
     assert mapping.Mapper(aspects).match(typed) == want
 
 
+def test_mapping_of_long_entries():
+    words = [f"{a}{b}entu" for a in "bdgk" for b in "aiou"]
+    mapper = mapping.Mapper([(1, " ".join(words)), (2, "pajak")])
+    assert mapper.match(" ".join(words).upper()) == 1
+    assert mapper.match(" ".join([words[1], words[0], *words[2:]])) == 1
+
+
 def test_mapping_distance():
     assert mapping.distance("abc", "abc") == 0 and mapping.distance("acb", "abc") == pytest.approx(0.6)
     assert mapping.distance("abbc", "abc") == pytest.approx(0.6) and mapping.distance("bc", "abc") == pytest.approx(0.5)
