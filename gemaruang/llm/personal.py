@@ -8,8 +8,13 @@ their spans are mapped back to the source.
 Kinds: email, phone, id_number, address, name. Numbers of identity are checked for a birth date; of overlapping finds the
 earlier kind in ``KINDS`` wins. Names of people have no form of their own, so their words are learned from the corpus: words in
 the places where names stand (after forms of address, "nama saya", "penerima", ... and whole display names) are
-counted over all rows; one that stands there often enough becomes a given or a family name, however large the corpus is. Full names
-after a form of address or an announcer are found where they stand, without the lexicon.
+counted over all rows, and so are all occurrences of these words in any case; one that stands there in a fair share of them becomes a
+given or a family name, however large the corpus is, and one that does not is a common word. Full names after a form of address or
+an announcer are found where they stand, without the lexicon, unless one of their words is common. Where all words of a text are
+capitalised, capitals tell no name: such texts teach nothing, and their names are found through the lexicon alone.
+
+A lexicon of at most ``MOST_WORDS`` words is broadcast. A larger one stays a table: the words of each text are joined with it, and each
+text is searched with its own part of the lexicon, which gives the same items.
 
 Null and empty texts have no items; texts of any length are read whole; repeated items of a field are given once.
 """
@@ -18,14 +23,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gemaruang.llm.canonical import CANDIDATE, fold_char, fold_segment
-from gemaruang.session import spread
+from gemaruang.session import cut, spread
 
 KINDS = ("email", "id_number", "phone", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -37,7 +43,10 @@ _LOWER = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c)
 #: Spelled digits, forms of address, words that announce a name, roles that follow a form of address (fixed values).
 DIGITS = {
     "nol": "0", "kosong": "0", "satu": "1", "dua": "2", "tiga": "3", "empat": "4", "lima": "5", "enam": "6", "tujuh": "7", "delapan": "8", "sembilan": "9",
-    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "siji": "1", "loro": "2", "telu": "3", "papat": "4", "enem": "6", "pitu": "7", "wolu": "8", "sanga": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "nul": "0", "een": "1", "twee": "2", "drie": "3", "vier": "4", "vijf": "5", "zes": "6", "zeven": "7", "acht": "8", "negen": "9",
 }
 ADDRESS_FORMS = (
     "pak", "bapak", "bu", "ibu", "mbak", "mas", "kak", "kang", "bang", "sdr", "sdri", "saudara", "saudari", "tuan", "nyonya", "haji", "hajah", "ustadz", "dr", "drs", "ir", "prof",
@@ -55,8 +64,11 @@ _AT = re.compile(
     r"(?<=[a-z0-9])(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s+@\s+|\s*@\s+|\s+@(?=[a-z0-9-]+(?:\.|\s*[\[({<]?\s*dot\b)))(?=[a-z0-9-]+(?:\.[a-z]|\s*[\[({<]\s*(?:dot|titik|\.)\s*[\])}>]|\s+(?:dot|titik)\s+[a-z]))", re.I
 )
 _DOT = re.compile(r"(?<=[a-z0-9])(?:\s*[\[({<]\s*(?:dot|titik|\.)\s*[\])}>]\s*|\s+(?:dot|titik)\s+)(?=[a-z0-9])", re.I)
-_SPELLED = re.compile(r"\b(?:(?:" + "|".join(DIGITS) + r")\b[ \-.,]{0,2}){6,}", re.I)
-_SPELLED_ONE = re.compile("|".join(DIGITS), re.I)
+_DIGIT_WORD = r"(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + r")"
+#: Spelled digits among figures: six or more digits of which at least LEAST_SPELLED are spelled.
+_SPELLED = re.compile(rf"(?<!\w)(?:(?:{_DIGIT_WORD}(?![^\W\d_])|[0-9]+(?![^\W_]))[ \-.,]{{0,2}}){{2,}}", re.I)
+_SPELLED_ONE = re.compile(_DIGIT_WORD, re.I)
+LEAST_SPELLED = 3
 
 _EMAIL = re.compile(r"(?<![\w.+%@-])[a-z0-9][a-z0-9._+%-]*@[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,24}(?![\w@])", re.I)
 _NIK = re.compile(r"(?<![0-9A-Za-z])(?<![0-9][.\- ])(?:[0-9]{16}|[0-9]{6}([ .\-])[0-9]{6}\1[0-9]{4}|[0-9]{4}([ .\-])[0-9]{4}\2[0-9]{4}\2[0-9]{4})(?![0-9A-Za-z])(?![.\-][0-9])")
@@ -68,6 +80,7 @@ _BLOCK = r"(?:\s+blok\s+[A-Z]{0,2}[\s\-]?[0-9]{0,3}[A-Z]?)?"
 _HOUSE_NO = re.compile(rf"(?<![\w@#]){_STREET}(?:\s+[^\W\d_]+){{1,5}}?{_BLOCK},?\s+(?:no\.?|nomor)\s*[0-9]{{1,4}}[A-Z]?(?![\w]){_RTRW}", re.I)
 _HOUSE = re.compile(rf"(?<![\w@#])(?i:{_STREET})(?:\s+[A-Z][^\W\d_]*){{1,5}}?(?i:{_BLOCK})\s+[0-9]{{1,4}}[A-Za-z]?(?![\w.,@-]*[0-9@])(?![\w]){_RTRW}")
 _ENGLISH = re.compile(r"(?<![\w@#.,-])[0-9]{1,4}[A-Z]?(?:\s+[^\W\d_]+){1,4}?\s+(?:street|st\.|road|rd\.|lane|ln\.|avenue|ave\.|drive|boulevard)(?!\w)", re.I)
+_DUTCH = re.compile(r"(?<![\w@#])(?:[A-Z][^\W\d_]+\s+){0,2}?[A-Z][^\W\d_]*(?:straat|laan|weg|plein|gracht|kade|steeg|singel|dijk)\s+(?:nr\.?\s*)?[0-9]{1,4}[A-Za-z]?(?![\w])")
 _PLAIN_WORDS = frozenset("the a an of on in at to near our my your people from and is was for by with this that behind down across each every other next same side more than new old".split())
 _WORD = re.compile(r"(?<![\w@#.+-])[^\W\d_]{2,}(?:-[^\W\d_]{2,})?(?![\w@])")
 _LOCAL = re.compile(r"https?://\S+|(?<!\w)[@#]\w[\w.]*")
@@ -85,7 +98,6 @@ _CLUSTER = re.compile("[^̀-ͯ]?[̀-ͯ]*", re.S)
 # what must be in a text before a detector can find anything; each test lets through all that its detector needs
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT_WORDS = frozenset(DIGITS)
-_CAPITALISED = re.compile(rf"(?<![\w@#]){_CAPITAL}")
 _DIGIT = re.compile("[0-9]")
 _DIGIT_RUN = re.compile(r"[0-9][0-9 .\-()]{7,}")
 _DISGUISE_WORDS = frozenset(("at", "dot", "titik"))
@@ -94,6 +106,7 @@ _DISGUISED_DOT = re.compile(r"[\[({<]\s*\.")
 _NAMING = frozenset(ADDRESS_FORMS) | {re.match(r"[^\W\d_]+", a).group() for a in ANNOUNCERS}
 _NAMING_WORDS = frozenset(ADDRESS_FORMS) | {w for a in ANNOUNCERS for w in re.findall(r"[^\W\d_]+", a)}
 _STREETS = frozenset("jalan jln jl gang gg perumahan perum kompleks komplek kompl lorong dusun kampung kp calle avenida".split())
+_DUTCH_ENDS = ("straat", "laan", "weg", "plein", "gracht", "kade", "steeg", "singel", "dijk")
 _ROADS = frozenset("street st road rd lane ln avenue ave drive boulevard".split())
 
 
@@ -140,6 +153,18 @@ def _rewrite(text: str, start: list[int], end: list[int], edits: list[tuple[int,
     return "".join(out), s + start[at:], e + end[at:]
 
 
+def _spelled_run(text: str, a: int, b: int) -> list[tuple[str, int, int]]:
+    """The digits of a run of spelled digits and figures with what they stand for; nothing where it is too short to be a number."""
+    run, spelled = [], 0
+    at = a
+    for d in _SPELLED_ONE.finditer(text, a, b):
+        run += [(text[i], i, i + 1) for i in range(at, d.start()) if text[i].isdigit()]
+        run.append((DIGITS[d.group().lower()], d.start(), d.end()))
+        spelled, at = spelled + 1, d.end()
+    run += [(text[i], i, i + 1) for i in range(at, b) if text[i].isdigit()]
+    return run if spelled >= LEAST_SPELLED and len(run) >= 6 else []
+
+
 def _deobfuscated(text: str) -> tuple[str, list[int] | None, list[int] | None, set[str]]:
     """(normalised, start, end, its runs of letters in lower case)."""
     start = end = None
@@ -160,8 +185,9 @@ def _deobfuscated(text: str) -> tuple[str, list[int] | None, list[int] | None, s
     if not words.isdisjoint(_DISGUISE_WORDS) or "@" in text and _DISGUISED_AT.search(text) or any(c in text for c in "[({<") and _DISGUISED_DOT.search(text):
         for pattern, sign in ((_AT, "@"), (_DOT, ".")):
             apply([(m.start(), m.end(), [(sign, m.start(), m.end())]) for m in pattern.finditer(text)])
-    if not words.isdisjoint(_DIGIT_WORDS) and sum(w in DIGITS for w in letters) >= 6:
-        apply([(m.start(), m.end(), [(DIGITS[d.group().lower()], d.start(), d.end()) for d in _SPELLED_ONE.finditer(text, m.start(), m.end())]) for m in _SPELLED.finditer(text)])
+    if not words.isdisjoint(_DIGIT_WORDS) and sum(w in DIGITS for w in letters) >= LEAST_SPELLED:
+        runs = [(m.start(), m.start() + len(m.group().rstrip(" -.,"))) for m in _SPELLED.finditer(text)]
+        apply([(a, b, run) for a, b in runs if (run := _spelled_run(text, a, b))])
     return text, start, end, set(_LETTERS.findall(text.lower())) if changed else words
 
 
@@ -181,7 +207,16 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
-def find(text: str | None, given: frozenset[str] | set[str], family: frozenset[str] | set[str]) -> list[tuple[str, int, int]]:
+_INITIALS = re.compile(r"(?<![\w@#/.:])[^\W\d_]{2,}")
+
+
+def _title(text: str) -> bool:
+    """Whether as good as all words of a text of some length are capitalised."""
+    words = _INITIALS.findall(text)
+    return len(words) >= 6 and sum(w[0].islower() for w in words) <= 0.1 * len(words)
+
+
+def find(text: str | None, given: frozenset[str] | set[str], family: frozenset[str] | set[str], common: frozenset[str] | set[str] = frozenset()) -> list[tuple[str, int, int]]:
     """(kind, start, end) in source offsets, in reading order, without overlaps."""
     if not text:
         return []
@@ -213,13 +248,17 @@ def find(text: str | None, given: frozenset[str] | set[str], family: frozenset[s
             for pattern in (_HOUSE_NO, _HOUSE):
                 for m in pattern.finditer(norm):
                     offer("address", m.start(), m.end())
+        if any(w.endswith(_DUTCH_ENDS) for w in words):
+            for m in _DUTCH.finditer(norm):
+                offer("address", m.start(), m.end())
         if not words.isdisjoint(_ROADS):
             for m in _ENGLISH.finditer(norm):
                 if not _PLAIN_WORDS & {w.lower() for w in m.group().split()[1:-1]}:
                     offer("address", m.start(), m.end())
     if not words.isdisjoint(_NAMING):
         for m in _NAMED.finditer(norm):
-            if not {m.group(1).lower(), m.group(2).lower()} & (ROLES | _NAMING_WORDS):
+            parts = {g.lower() for g in m.groups() if g}
+            if parts.isdisjoint(ROLES) and parts.isdisjoint(_NAMING_WORDS) and parts.isdisjoint(common) and not _title(norm):
                 direct.append((m.start(1), m.end(3) if m.group(3) else m.end(2)))
     tokens = []
     if not words.isdisjoint(given):
@@ -248,10 +287,10 @@ def find(text: str | None, given: frozenset[str] | set[str], family: frozenset[s
             named = t.group().lower() not in ROLES and _BEFORE_FORM.search(norm[max(0, t.start() - 14) : t.start()]) is not None
             j = i + 1
         if named:
-            offer("name", t.start(), last)
+            direct.append((t.start(), last))
         i = j
-    # what the lexicon finds comes first: it may know a longer name
-    for a, b in direct:
+    # the longer of two that overlap: the lexicon may know a double name, the place a family name that the lexicon does not
+    for a, b in sorted(direct, key=lambda s: (s[0] - s[1], s[0])):
         offer("name", a, b)
     found.sort(key=lambda f: f[1])
     if start is not None:
@@ -259,97 +298,131 @@ def find(text: str | None, given: frozenset[str] | set[str], family: frozenset[s
     return found
 
 
-def redact(text: str | None, given: set[str], family: set[str]) -> str | None:
+def redact(text: str | None, given: set[str], family: set[str], common: frozenset[str] | set[str] = frozenset()) -> str | None:
     """The text with each item replaced by the placeholder of its kind."""
     if not text:
         return text
     out, at = [], 0
-    for kind, a, b in find(text, given, family):
+    for kind, a, b in find(text, given, family, common):
         out += [text[at:a], PLACEHOLDERS[kind]]
         at = b
     return "".join([*out, text[at:]])
 
 
-def learn_names(df: DataFrame, text: str = "text", name: str = "name", least: int = 2, least_ratio: float = 0.1) -> tuple[frozenset[str], frozenset[str]]:
-    """(given, family): words that stand where names stand, over all rows.
+MOST_WORDS = 1_000_000
+Lexicon = tuple[frozenset[str], ...]
+
+
+def name_words(df: DataFrame, text: str = "text", name: str = "name", least: int = 2, least_ratio: float = 0.1) -> DataFrame:
+    """(word, given, family, common) of all words that stand where names stand, over all rows.
 
-    A word needs ``least`` such places and ``least_ratio`` of its own capitalised occurrences.
+    A given or family name needs ``least`` such places and ``least_ratio`` of all its occurrences, whatever their case; a word with more
+    than ``least`` other occurrences for each ``least_ratio`` of a place is common.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, list[int]] = {}
-
-        def add(word: str, k: int) -> None:
-            counts.setdefault(word.lower(), [0, 0, 0])[k] += 1
+        seen: Counter[str] = Counter()
+        places: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
         def hit(groups: tuple[str | None, ...]) -> None:
-            add(groups[0], 0)
-            for g in groups[1:]:
-                if g:
-                    add(g, 1)
+            places[0][groups[0].lower()] += 1
+            places[1].update(g.lower() for g in groups[1:] if g)
+
+        def frame() -> pd.DataFrame:
+            words = list(seen.keys() | places[0].keys() | places[1].keys())
+            return pd.DataFrame({"word": pd.Series(words, dtype=object), "given": pd.Series([places[0][w] for w in words], dtype="int64"), "family": pd.Series([places[1][w] for w in words], dtype="int64"), "seen": pd.Series([seen[w] for w in words], dtype="int64")})
 
         for b in batches:
             for t in b["t"]:
                 if t:
-                    if not _NAMING.isdisjoint(_LETTERS.findall(t.lower())):
+                    words = _LETTERS.findall(t.lower())
+                    seen.update(words)
+                    if not _NAMING.isdisjoint(words) and not _title(t):
                         for m in _NAMED.finditer(t):
                             if m.group(1).lower() not in ROLES:
                                 hit(m.groups())
-                    for w in _CAPITALISED.findall(t):
-                        add(w, 2)
             for t in b["n"]:
                 if t and (m := _DISPLAY.match(t)) and not any(map(str.isdigit, t)):
+                    seen.update(g.lower() for g in m.groups() if g)
                     hit(m.groups())
-            if len(counts) > 200_000:
-                yield frame(counts)
-                counts.clear()
-        yield frame(counts)
-
-    def frame(counts: dict[str, list[int]]) -> pd.DataFrame:
-        return pd.DataFrame([(w, *c) for w, c in counts.items()], columns=["word", "given", "family", "seen"]).astype({"given": "int64", "family": "int64", "seen": "int64"})
+            if len(seen) > 200_000:
+                yield frame()
+                seen.clear()
+                places[0].clear()
+                places[1].clear()
+        yield frame()
 
     rows = df.select(F.col(text).alias("t"), (F.col(name) if name in df.columns else F.lit(None)).cast("string").alias("n"))
-    counted = spread(rows).mapInPandas(run, "word string, given long, family long, seen long").groupBy("word").agg(F.sum("given").alias("given"), F.sum("family").alias("family"), F.sum("seen").alias("seen"))
-    counted = counted.filter((F.col("given") > 0) | (F.col("family") > 0)).cache()
-    try:
-        parts = []
-        for kind in ("given", "family"):
-            n = F.col(kind)
-            kept = counted.filter((n >= least) & (n >= least_ratio * F.col("seen")))
-            parts.append(frozenset(r["word"] for r in kept.select("word").collect()))
-    finally:
-        counted.unpersist()
-    return parts[0], parts[1]
-
-
-def personal_items(df: DataFrame, key: str = "row_id", fields: tuple[str, ...] = ("text", "name"), lexicon: tuple[frozenset[str], frozenset[str]] | None = None) -> DataFrame:
-    """(key, field, kind, value): each distinct item of each field with its exact source characters."""
-    given, family = lexicon or learn_names(df)
-    shared = df.sparkSession.sparkContext.broadcast((given, family))
+    counted = spread(rows).mapInPandas(run, "word string, given long, family long, seen long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("given", "family", "seen")])
+    own, total = F.greatest("given", "family"), F.greatest(F.lit(1), F.col("seen"))
+    enough = [(F.col(k) >= least) & (F.col(k) >= least_ratio * total) for k in ("given", "family")]
+    marked = counted.filter(own > 0).select("word", enough[0].alias("given"), enough[1].alias("family"), ((own < least_ratio * total) & (total - own >= least / least_ratio)).alias("common"))
+    return marked.filter("given or family or common")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, f = shared.value
+
+def _sets(rows: Iterable) -> Lexicon:
+    rows = list(rows)
+    return tuple(frozenset(r["word"] for r in rows if r[k]) for k in ("given", "family", "common"))
+
+
+def learn_names(df: DataFrame, text: str = "text", name: str = "name", least: int = 2, least_ratio: float = 0.1, most_words: int = MOST_WORDS) -> Lexicon | None:
+    """(given, family, common) as sets; None where they are more than ``most_words``, so that they stay a table."""
+    rows = name_words(df, text, name, least, least_ratio).limit(most_words + 1).collect()
+    return _sets(rows) if len(rows) <= most_words else None
+
+
+def _search(df: DataFrame, key: str, fields: tuple[str, ...], lexicon: Lexicon | None, most_words: int, give: Callable[[pd.DataFrame, list[Lexicon]], pd.DataFrame], schema: str) -> DataFrame:
+    """``give`` over batches of (__k, fields) with the lexicon of each row: the broadcast one, or the row's own part of the table."""
+    rows = df.select(F.col(key).cast("long").alias("__k"), *fields)
+    lexicon = lexicon or learn_names(df, most_words=most_words)
+    if lexicon is not None:
+        shared = df.sparkSession.sparkContext.broadcast(lexicon)
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield give(b, [shared.value] * len(b))
+
+        return spread(rows).mapInPandas(whole, schema)
+
+    numbered = cut(spread(rows).withColumn("__r", F.monotonically_increasing_id()))
+
+    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for field in fields:
-                for k, t in zip(b["__k"], b[field]):
-                    if t:
-                        out += dict.fromkeys((k, field, kind, t[x:y]) for kind, x, y in find(t, g, f))
-            yield pd.DataFrame(out, columns=["k", "field", "kind", "value"]).astype({"k": "int64"})
+            for r, *texts in zip(b["__r"], *[b[f] for f in fields]):
+                # a double name is looked up by its parts and as a whole
+                out += [(r, w) for w in {w for t in texts if t for n in [deobfuscate(t)[0].lower()] for w in [*_LETTERS.findall(n), *(m.group() for m in _WORD.finditer(n))]}]
+            yield pd.DataFrame(out, columns=["__r", "word"]).astype({"__r": "int64"})
+
+    # one row for each word on one side: a word that stands in many texts is split by adaptive execution
+    met = numbered.mapInPandas(spelled, "__r long, word string").join(cut(name_words(df)), "word")
+    own = met.groupBy("__r").agg(F.collect_list(F.struct("word", "given", "family", "common")).alias("__own"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield give(b, [_sets(o if o is not None else ()) for o in b["__own"]])
 
-    rows = spread(df.select(F.col(key).cast("long").alias("__k"), *fields))
-    return rows.mapInPandas(run, "k long, field string, kind string, value string").withColumnRenamed("k", key)
+    return numbered.join(own, "__r", "left").mapInPandas(each, schema)
 
 
-def redacted(df: DataFrame, key: str = "row_id", fields: tuple[str, ...] = ("text", "name"), lexicon: tuple[frozenset[str], frozenset[str]] | None = None) -> DataFrame:
+def personal_items(df: DataFrame, key: str = "row_id", fields: tuple[str, ...] = ("text", "name"), lexicon: Lexicon | None = None, most_words: int = MOST_WORDS) -> DataFrame:
+    """(key, field, kind, value): each distinct item of each field with its exact source characters."""
+
+    def give(b: pd.DataFrame, lexicons: list[Lexicon]) -> pd.DataFrame:
+        out = []
+        for field in fields:
+            for k, t, own in zip(b["__k"], b[field], lexicons):
+                if t:
+                    out += dict.fromkeys((k, field, kind, t[x:y]) for kind, x, y in find(t, *own))
+        return pd.DataFrame(out, columns=["k", "field", "kind", "value"]).astype({"k": "int64"})
+
+    return _search(df, key, fields, lexicon, most_words, give, "k long, field string, kind string, value string").withColumnRenamed("k", key)
+
+
+def redacted(df: DataFrame, key: str = "row_id", fields: tuple[str, ...] = ("text", "name"), lexicon: Lexicon | None = None, most_words: int = MOST_WORDS) -> DataFrame:
     """(key, fields): every row with its items replaced by placeholders; null stays null."""
-    given, family = lexicon or learn_names(df)
-    shared = df.sparkSession.sparkContext.broadcast((given, family))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, f = shared.value
-        for b in batches:
-            yield pd.DataFrame({"__k": b["__k"], **{field: [redact(t, g, f) for t in b[field]] for field in fields}})
+    def give(b: pd.DataFrame, lexicons: list[Lexicon]) -> pd.DataFrame:
+        return pd.DataFrame({"__k": b["__k"], **{field: [redact(t, *own) for t, own in zip(b[field], lexicons)] for field in fields}})
 
-    rows = spread(df.select(F.col(key).cast("long").alias("__k"), *fields))
-    return rows.mapInPandas(run, "__k long, " + ", ".join(f"`{f}` string" for f in fields)).withColumnRenamed("__k", key)
+    return _search(df, key, fields, lexicon, most_words, give, "__k long, " + ", ".join(f"`{f}` string" for f in fields)).withColumnRenamed("__k", key)

@@ -270,7 +270,7 @@ def test_announcers_are_no_names():
 def test_names_are_learned(spark):
     rows = [(i, f"Hubungi Pak {g} {f} di kantor. Nama saya {g} {f}, warga.", None) for i, (g, f) in enumerate([("Surati", "Harjowono"), ("Arumdani", "Lubisan")] * 3)]
     df = spark.createDataFrame([*rows, (90, "Bu Guru sudah tanya. Saksinya Surati Lubisan.", "Arumdani Harjowono (admin)")], "row_id long, text string, name string")
-    given, family = personal.learn_names(df)
+    given, family, _ = personal.learn_names(df)
     assert {"surati", "arumdani"} <= given and {"harjowono", "lubisan"} <= family and "guru" not in given
     got = {(r["field"], r["kind"], r["value"]) for r in personal.personal_items(df).filter("row_id = 90").collect()}
     assert got == {("text", "name", "Surati Lubisan"), ("name", "name", "Arumdani Harjowono")}
@@ -278,6 +278,65 @@ def test_names_are_learned(spark):
     assert red[90] == ("Bu Guru sudah tanya. Saksinya [NAME].", "[NAME] (admin)")
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("hub nol 8 satu 2 tiga 456 tujuh 89 ya", [("phone", "nol 8 satu 2 tiga 456 tujuh 89")]),
+        ("llame al cero ocho uno dos tres cuatro cinco seis siete ocho", [("phone", "cero ocho uno dos tres cuatro cinco seis siete ocho")]),
+        ("bel nul zes een twee drie vier vijf zes zeven acht maar", [("phone", "nul zes een twee drie vier vijf zes zeven acht")]),
+        ("nomere nol wolu siji loro telu papat lima enem pitu wolu", [("phone", "nol wolu siji loro telu papat lima enem pitu wolu")]),
+        ("satu dua tiga 20000", []),
+        ("Ik woon Kerkstraat 12a, hoor", [("address", "Kerkstraat 12a")]),
+        ("Sampai Ibu Saya Hrs Pulang Lagi Dr Tahun Lalu", []),
+    ],
+)
+def test_further_items(text, want):
+    assert [(k, text[a:b]) for k, a, b in personal.find(text, GIVEN, FAMILY)] == want
+
+
+@pytest.fixture(scope="module")
+def named_rows(spark):
+    """Texts with known items of each kind among ten times as many plain and title-case ones; the names make up a small part."""
+    rng = random.Random(5)
+    pool = [a + b for a in ("sura", "arum", "weni", "bagas") for b in ("ti", "dani", "lah")]
+    kin = [a + b for a in ("harjo", "lubi", "siro") for b in ("wono", "san", "laki")]
+    plain = ["harus dibuka untuk umum dari tahun lalu", "ibu saya harus pulang lagi dr tahun lalu", "kemarin pagi saya lihat antrean di kantor", "sudah daftar dari pagi tetapi belum ada kabar"]
+    rows, want = [], set()
+    for i in range(4000):
+        t = " ".join(rng.sample(plain, 2))
+        if i % 3 == 0:
+            t = t.title()
+        elif i % 20 == 1:
+            name = f"{rng.choice(pool).title()} {rng.choice(kin).title()}"
+            form = rng.choice(["Hubungi Pak {}", "Nama saya {}", "kata {}"])
+            t = form.format(name) + ", " + t
+            want.add((i, "name", name))
+        elif i % 20 == 2:
+            kind, item = rng.choice([("phone", f"08{rng.randint(10**8, 10**9)}"), ("email", f"warga{i} (at) kotak [dot] test"), ("address", f"Jalan Kenanga No. {rng.randint(1, 99)}"), ("id_number", f"{rng.randint(10**5, 10**6 - 1)}170845{rng.randint(1000, 9999)}")])
+            t = f"{t} di {item}, ya"
+            want.add((i, kind, item))
+        rows.append((i, t, None))
+    return spark.createDataFrame(rows, "row_id long, text string, name string"), want
+
+
+def test_precision_and_recall_of_each_kind(named_rows):
+    df, want = named_rows
+    got = {(r["row_id"], r["kind"], r["value"]) for r in personal.personal_items(df).collect()}
+    for kind in personal.KINDS:
+        w, g = {x for x in want if x[1] == kind}, {x for x in got if x[1] == kind}
+        assert len(w & g) >= 0.95 * len(w) and len(w & g) >= 0.95 * len(g), (kind, sorted(g - w)[:5], sorted(w - g)[:5])
+
+
+def test_lexicon_as_a_table_gives_the_same(named_rows):
+    df, _ = named_rows
+    small = df.filter("row_id < 600")
+    assert personal.learn_names(small, most_words=3) is None
+    whole, joined = (sorted(map(tuple, personal.personal_items(small, most_words=n).collect())) for n in (1000, 3))
+    assert whole == joined and whole
+    a, b = (sorted(map(tuple, personal.redacted(small, most_words=n).collect()), key=repr) for n in (1000, 3))
+    assert a == b
+
+
 # ------------------------------------------------------------------ languages
 
 
