@@ -200,8 +200,61 @@ def test_mapping_rows(spark, aspects):
     assert {tuple(r) for r in mapping.map_values(df, ref).collect()} == {(2, 1), (5, 0), (6, 0)}
     assert [tuple(r) for r in mapping.unmatched_values(df, ref).collect()] == [("cuaca", 2)]
     assert mapping.map_values(df.limit(0), ref).count() == 0
-    with pytest.raises(ValueError, match="more than"):
-        mapping.map_values(df, ref, most_entries=2)
+    # a dictionary that is too large for one broadcast is looked up in blocks, with the same result
+    assert {tuple(r) for r in mapping.map_values(df, ref, most_bytes=9000).collect()} == {(2, 1), (5, 0), (6, 0)}
+    assert len(mapping._blocks(ref.select(ref["aspect_no"].alias("n"), ref["aspect_category"].alias("name")).dropna(), {}, 9000)) > 1
+
+
+def _made_entries(n):
+    rng = random.Random(1)
+    parts = [a + b for a in "bcdfghjklmnprst" for b in "aiueo"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(2, 4))) + rng.choice(["", "n", "ng", "r", "s"])
+    words = [word() for _ in range(n)]
+    return [(i + 1, " ".join("program" if rng.random() < 0.2 else rng.choice(words) for _ in range(rng.randint(2, 3)))) for i in range(n)]
+
+
+def test_mapping_of_large_lists_stays_fast():
+    import time
+
+    rng = random.Random(2)
+    took = {}
+    for n in (500, 8000):
+        entries = _made_entries(n)
+        mapper = mapping.Mapper(entries)
+        picked = [rng.choice(entries)[1] for _ in range(150)]
+        typed = [(t[:i] + t[i + 1] + t[i] + t[i + 2 :], t) for t in picked for i in [rng.randrange(len(t) - 1)]]
+        names = dict(entries)
+        start = time.time()
+        assert sum(names.get(mapper.match(v)) == t for v, t in typed) >= 0.95 * len(typed)
+        took[n] = time.time() - start
+    # sixteen times the entries; a scan of the list would take sixteen times as long
+    assert took[8000] < 8 * took[500]
+
+
+def test_mapping_of_entries_with_many_words_and_letters():
+    rng = random.Random(3)
+    words = list(dict.fromkeys(w for _, e in _made_entries(60) for w in e.split()))[:30]
+    long_word = "".join(rng.choice("abdeginoprstu") for _ in range(300))
+    mapper = mapping.Mapper([(1, " ".join(words)), (2, long_word), (3, "pajak")])
+    mixed = words[:]
+    rng.shuffle(mixed)
+    assert mapper.match(" ".join(w.upper() for w in mixed)) == 1
+    assert mapper.match(" ".join(words).replace(words[7], words[7][:-1] + "x")) == 1
+    assert mapper.match(long_word[:150] + "q" + long_word[151:]) == 2
+    assert mapper.match(" ".join(words[:29])) == 0 and mapper.match(long_word[20:]) == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abc", max_size=7), st.text(alphabet="abc", max_size=7))
+def test_meeting_is_that_of_all_deletes(a, b):
+    assert mapping.meet(a, b) == bool(mapping.deletes(a) & mapping.deletes(b))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 4), st.integers(0, 2), st.data())
+def test_assignment_against_brute_force(n, more, data):
+    costs = [[data.draw(st.integers(-5, 9)) for _ in range(n + more)] for _ in range(n)]
+    assert mapping.assignment(costs) == pytest.approx(min(sum(costs[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n + more), n)))
 
 
 # ------------------------------------------------------------------ personal items
