@@ -3,97 +3,94 @@ r"""One record of all rows that differ only in formatting, with the number of co
 The canonical bytes of a text leave out letter case, white space and punctuation; in a text of three or more
 ``field: value`` parts the parts are sorted. Rows are spread by recursive radix partitioning on those bytes:
 
-1. A bucket is the set of rows that share a prefix. Buckets are measured by one aggregation over prefixes, combined per task
-   before the shuffle. One that holds more than ``limit`` rows is split by further bytes, first past what all its
-   members have in common (the common prefix of its smallest and largest value), until each fits.
-2. A bucket whose smallest and largest value are equal is one record, however many rows it has; no byte can split it.
-   Its first row is known from the measuring, so its rows need not meet anywhere. Of these and of the split
-   buckets there are at most (rows / ``limit``) each; only they reach the driver and are broadcast.
-3. All other rows are shuffled by bucket into tries with terminal counters. A node's edges are runs of bytes and
-   a leaf keeps its whole remainder until a second key shares its path, so a key costs a few steps whatever its length.
+1. A bucket is the set of rows that share a prefix, named by its digest. Buckets are counted by one hash aggregation, combined per task
+   before the shuffle. One that holds more than ``limit`` rows or ``most_chars`` characters is split by further bytes, first past what all its
+   members have in common (the common prefix of its smallest and largest value), until each fits. Only rows of such buckets
+   are looked at again, and only numbers of such buckets are broadcast: at most (rows / ``limit``) at each level.
+2. A large bucket whose rows all have the same 128-bit digest is one record, however many rows it has; no byte can split it.
+   Its first row is known from the counting, so its rows need not meet anywhere.
+3. All other rows are shuffled and sorted by bucket into tries with terminal counters. A task holds the trie of one bucket at a time. A node's
+   edges are runs of bytes and a leaf keeps its whole remainder until a second key shares its path, so a key costs a few
+   steps whatever its length.
 
 Null texts and texts without letter or digit are no records. Ties: the smallest key is the first row of a record.
 """
 
 from __future__ import annotations
 
+import os.path
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gemaruang.functions.text import WS
+from gemaruang.functions.text import NOT_WS, WS
 from gemaruang.session import cut, shuffle_partitions
 
 _PUNCT = r"\p{P}!-/:-@\[-`{-~"
 _IGNORED = "[" + _PUNCT + WS[1:-1] + "]+"
 _PART = rf"^{WS}*[\p{{L}}\p{{N}}_\-][\p{{L}}\p{{N}}_\- ]{{0,39}}{WS}*[:=](?s:.*)$"
+_FIRST_PART = rf"^(?:{WS}|[;|\n\r])*[\p{{L}}\p{{N}}_\-][\p{{L}}\p{{N}}_\- ]{{0,39}}{WS}*[:=]"
+_HAS_SIGN = r"[\p{L}\p{N}]"
 _END = "\x00"
 _STEP = 8
 
 
 def canonical_bytes(c: Column | str) -> Column:
     """The canonical form whose equality is equality of records; null where there is no letter or digit."""
-    c = F.col(c) if isinstance(c, str) else c
+    out = _canonical(F.col(c) if isinstance(c, str) else c)
+    return F.when(out.rlike(_HAS_SIGN), out)
+
+
+def _canonical(c: Column) -> Column:
+    """The canonical form, empty where nothing is left. The parts are looked at only where the first one has a field's form."""
 
     def plain(x: Column) -> Column:
         return F.regexp_replace(F.lower(F.upper(x)), _IGNORED, "")
 
-    parts = F.filter(F.split(c, r"[;|\n\r]+"), lambda p: F.regexp_replace(p, f"{WS}+", "") != "")
+    parts = F.filter(F.split(c, r"[;|\n\r]+"), lambda p: p.rlike(NOT_WS))
     fielded = (F.size(parts) >= 3) & F.forall(parts, lambda p: p.rlike(_PART))
-    out = F.when(F.coalesce(fielded, F.lit(False)), F.array_join(F.array_sort(F.transform(parts, plain)), "")).otherwise(plain(c))
-    return F.when(out.rlike(r"[\p{L}\p{N}]"), out)
+    return F.when(c.rlike(_FIRST_PART), F.when(fielded, F.array_join(F.array_sort(F.transform(parts, plain)), "")).otherwise(plain(c))).otherwise(plain(c))
 
 
-def _prefix(c: Column | str, n: Column | int) -> Column:
-    """The first n characters of the form with its end mark; the whole where it is shorter."""
-    return F.concat(c, F.lit(_END)).substr(F.lit(1), F.lit(n) if isinstance(n, int) else n)
+def _bucket(length: Column) -> Column:
+    """The digest of the first so many characters of the form with its end mark; of the whole where it is shorter."""
+    return F.xxhash64(F.concat("canon", F.lit(_END)).substr(F.lit(1), length))
 
 
-def _common(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
+def _common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Length of the next prefix of each bucket: two characters past what its smallest and largest value share."""
+    for b in batches:
+        shared = [len(os.path.commonprefix([x + _END, y + _END])) for x, y in zip(b["least"], b["most"])]
+        yield pd.DataFrame({"bucket": b["bucket"], "length": [n + 2 for n in shared]}).astype({"length": "int32"})
 
 
-def split_plan(keys: DataFrame, limit: int) -> tuple[dict[str, int], dict[str, tuple[int, int]]]:
-    """(splits, whole): length of the next prefix for each bucket that is split, '' being all rows; (first key, rows) of each bucket that is one record.
+def split_plan(keys: DataFrame, limit: int, most_chars: int) -> tuple[list[DataFrame], DataFrame]:
+    """(levels, whole): for each level the (bucket, length) to split further; (h1, h2, first, copies) of large buckets that are one record.
 
-    ``keys`` has (k, canon). Only buckets above ``limit`` rows come to the driver.
+    ``keys`` has (k, canon, h1, h2). Nothing but the number of large buckets comes to the driver.
     """
-    spark = keys.sparkSession
-    splits: dict[str, int] = {"": 2}
-    whole: dict[str, tuple[int, int]] = {}
-    level = {"": 2}
-    rows = keys.withColumn("bucket", F.lit(""))
-    while level:
-        table = F.broadcast(spark.createDataFrame(list(level.items()), "bucket string, length int"))
-        rows = rows.join(table, "bucket").select("k", "canon", _prefix("canon", F.col("length")).alias("bucket"))
-        big = (
-            rows.groupBy("bucket")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("canon").alias("least"), F.max("canon").alias("most"), F.min("k").alias("first"))
-            .filter(F.col("n") > limit)
-            .collect()
+    levels, whole = [], []
+    rows = keys.withColumn("bucket", _bucket(F.lit(2)))
+    while True:
+        sums = rows.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("copies"), F.sum(F.length("canon")).alias("chars"), F.min("k").alias("first"), F.min("h1").alias("h1"), F.max("h1").alias("g1"), F.min("h2").alias("h2"), F.max("h2").alias("g2")
         )
-        level = {}
-        for b in big:
-            if b["least"] == b["most"]:
-                whole[b["least"]] = (b["first"], b["n"])
-            else:
-                level[b["bucket"]] = _common(b["least"] + _END, b["most"] + _END) + 2
-        splits |= level
-    return splits, whole
-
-
-def bucket_of(canon: str, splits: dict[str, int]) -> str:
-    marked, bucket = canon + _END, ""
-    while bucket in splits:
-        bucket = marked[: splits[bucket]]
-    return bucket
+        large = cut(sums.filter((F.col("copies") > limit) | (F.col("chars") > most_chars)))
+        one = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+        whole.append(large.filter(one).select("h1", "h2", "first", "copies"))
+        split = large.filter(~one).select("bucket")
+        if split.isEmpty():
+            break
+        inside = rows.join(F.broadcast(split), "bucket")
+        ends = inside.groupBy("bucket").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
+        levels.append(cut(ends.mapInPandas(_common, "bucket long, length int")))
+        rows = cut(inside.join(F.broadcast(levels[-1]), "bucket").withColumn("bucket", _bucket(F.col("length"))).drop("length"))
+    out = whole[0]
+    for w in whole[1:]:
+        out = out.unionByName(w)
+    return levels, out
 
 
 class Trie:
@@ -138,50 +135,54 @@ class Trie:
 
 
 def _count_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of whole buckets: a trie for each bucket, then each row with the first row and the copies of its record."""
-    tries: dict[str, tuple[Trie, list[int], list[int]]] = {}
+    """Rows of whole buckets, sorted by bucket: one trie at a time, then each row with the first row and the copies of its record."""
+    done: dict[str, list[int]] = {"first": [], "k": [], "copies": []}
+
+    def finish(trie: Trie, ends: list[int], keys: list[int]) -> None:
+        done["first"] += [trie.first[e] for e in ends]
+        done["k"] += keys
+        done["copies"] += [trie.count[e] for e in ends]
+
+    bucket, trie, ends, keys = None, Trie(), [], []
     for b in batches:
-        for bucket, canon, key in zip(b["bucket"], b["canon"], b["k"]):
-            held = tries.get(bucket)
-            if held is None:
-                held = tries[bucket] = (Trie(), [], [])
-            held[1].append(held[0].add(canon.encode("utf-8", "surrogatepass"), key))
-            held[2].append(key)
-    while tries:
-        _, (trie, ends, keys) = tries.popitem()
-        first, count = trie.first, trie.count
-        yield pd.DataFrame({"first": [first[e] for e in ends], "k": keys, "copies": [count[e] for e in ends]})
-
-
-def record_members(df: DataFrame, key: str = "row_id", text: str = "text", limit: int = 250_000) -> DataFrame:
+        for at, canon, key in zip(b["bucket"], b["canon"], b["k"]):
+            if at != bucket:
+                finish(trie, ends, keys)
+                bucket, trie, ends, keys = at, Trie(), [], []
+            ends.append(trie.add(canon.encode("utf-8", "surrogatepass"), key))
+            keys.append(key)
+        if len(done["k"]) >= 10_000:
+            yield pd.DataFrame(done)
+            done = {"first": [], "k": [], "copies": []}
+    finish(trie, ends, keys)
+    yield pd.DataFrame(done).astype("int64")
+
+
+def record_members(df: DataFrame, key: str = "row_id", text: str = "text", limit: int = 250_000, most_chars: int = 64_000_000) -> DataFrame:
     """(first_key, key, copies) of every row that is a record: the record's smallest key and its number of rows.
 
-    ``limit`` is the number of rows a bucket may hold and so bounds what one trie sees.
+    ``limit`` and ``most_chars`` are the rows and characters a bucket may hold and so bound what a task keeps.
     """
     spark = df.sparkSession
-    keys = cut(df.select(F.col(key).cast("long").alias("k"), canonical_bytes(text).alias("canon")).filter(F.col("canon").isNotNull() & F.col("k").isNotNull()))
-    splits, whole = split_plan(keys, limit)
-    shared = spark.sparkContext.broadcast(splits)
-
-    @F.pandas_udf("string")
-    def bucket_udf(s: pd.Series) -> pd.Series:
-        tree = shared.value
-        return s.map(lambda c: bucket_of(c, tree))
-
-    rest, parts = keys, []
-    if whole:
-        table = F.broadcast(spark.createDataFrame([(c, f, n) for c, (f, n) in whole.items()], "canon string, first long, copies long"))
-        parts.append(keys.join(table, "canon").select("first", "k", "copies"))
-        rest = keys.join(table, "canon", "left_anti")
-    bucketed = rest.withColumn("bucket", bucket_udf("canon") if len(splits) > 1 else _prefix("canon", splits[""]))
-    counted = bucketed.repartition(shuffle_partitions(spark), "bucket").mapInPandas(_count_tries, "first long, k long, copies long")
-    for p in parts:
-        counted = counted.unionByName(p)
-    return counted.select(F.col("first").alias(f"first_{key}"), F.col("k").alias(key), "copies")
-
-
-def records(df: DataFrame, key: str = "row_id", text: str = "text", limit: int = 250_000) -> DataFrame:
+    given = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull() & F.col("k").isNotNull())
+    # what has no letter or digit is left out after the cut: a filter before it would work out every form twice
+    forms = cut(given.select("k", _canonical(F.col("t")).alias("canon"))).filter(F.col("canon").rlike(_HAS_SIGN))
+    keys = forms.withColumns({"h1": F.xxhash64("canon"), "h2": F.xxhash64(F.lit("other"), "canon")})
+    levels, whole = split_plan(keys, limit, most_chars)
+    # at most (rows / limit) records, of four numbers each
+    known = F.broadcast(whole.select("h1", "h2", "first", "copies"))
+    met = keys.join(known, ["h1", "h2"]).select("first", "k", "copies")
+    rest = keys.join(known, ["h1", "h2"], "left_anti").select("k", "canon", _bucket(F.lit(2)).alias("bucket"))
+    for level in levels:
+        rest = rest.join(F.broadcast(level), "bucket", "left").select("k", "canon", F.coalesce(F.when(F.col("length").isNotNull(), _bucket(F.col("length"))), F.col("bucket")).alias("bucket"))
+    rows, chars = forms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("canon")), F.lit(0))).first()
+    tasks = max(shuffle_partitions(spark), -(-rows // limit), -(-chars // most_chars))
+    counted = rest.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(_count_tries, "first long, k long, copies long")
+    return counted.unionByName(met).select(F.col("first").alias(f"first_{key}"), F.col("k").alias(key), "copies")
+
+
+def records(df: DataFrame, key: str = "row_id", text: str = "text", limit: int = 250_000, most_chars: int = 64_000_000) -> DataFrame:
     """The first row of each record with all its columns and ``record_copies``; a column of that name is replaced."""
-    members = record_members(df, key, text, limit)
+    members = record_members(df, key, text, limit, most_chars)
     firsts = members.filter(F.col(key) == F.col(f"first_{key}")).select(F.col(key), F.col("copies").alias("record_copies"))
     return df.drop("record_copies").join(firsts, key)

@@ -94,6 +94,36 @@ def test_records_against_brute_force(spark, limit):
     assert sorted(tuple(r) for r in members.collect()) == want
 
 
+def test_records_of_long_common_beginnings(spark):
+    """Buckets too large by rows or by characters, texts that differ only after a long beginning, and a hot record."""
+    start = "sama saja " * 300
+    rows = [(i, start + f"akhir {i % 7}" + "!" * (i % 3)) for i in range(120)] + [(i, "satu dan sama") for i in range(200, 260)] + [(i, f"lain {i}") for i in range(300, 340)]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    groups = {}
+    for k, t in rows:
+        groups.setdefault(plain_record(t), []).append(k)
+    want = sorted((min(g), k, len(g)) for g in groups.values() for k in g)
+    assert sorted(tuple(r) for r in records.record_members(df, limit=10).collect()) == want
+    assert sorted(tuple(r) for r in records.record_members(df, most_chars=20_000).collect()) == want
+
+
+def test_tries_hold_one_bucket_at_a_time():
+    import pandas as pd
+
+    given_up = []
+
+    def batches():
+        for b in range(4):
+            given_up.append(b)
+            yield pd.DataFrame({"bucket": [b] * 10_000, "canon": [f"x{i % 50}" for i in range(10_000)], "k": range(b * 10_000, (b + 1) * 10_000)})
+
+    out = records._count_tries(batches())
+    first = next(out)
+    # the first bucket leaves as soon as the second one begins
+    assert given_up == [0, 1] and len(first) == 10_000 and set(first["copies"]) == {200}
+    assert sum(map(len, out)) == 30_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab", max_size=20), max_size=60))
 def test_trie_counts(words):
