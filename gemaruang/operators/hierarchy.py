@@ -7,9 +7,13 @@ Each node has at most one parent, so the graph is a forest in which some trees m
    cut there. After ``log2(depth)`` rounds all pointers are roots or cut nodes: the component labels. Nodes that are done
    leave the rounds, so a hot root is never a join key.
 2. *Co-location.* Components of at most ``max_component`` nodes are packed into tasks and walked by an iterative
-   depth-first traversal with node colours (white, grey, black); a back edge to a grey node is a cycle.
-3. *Larger components* never meet in one task: root and depth come from step 1, which has them already, and
-   cycle membership from a second doubling restricted to the components that were cut.
+   depth-first traversal with node colours (white, grey, black); a back edge to a grey node is a cycle. The walk keeps the trail from the
+   top of the tree to the node, from which roots, depths, paths and descendants are written as it goes on.
+3. *Larger components* never meet in one task: root and depth come from step 1, which has them already, cycle membership
+   from a second doubling restricted to the components that were cut, and paths and descendants from a closure by doubling.
+
+Nodes on a cycle are the tops of the trees that hang from them: these trees are walked like any other, and what is below a node of a
+cycle are the nodes of its own trees. The other members of the cycle are reported as its cycle.
 
 Ties and dirt: repeated ids are one node; of different parents for one id the smallest non-blank one counts. Null or
 empty ids are no nodes. A parent that is no node is no parent.
@@ -17,10 +21,10 @@ empty ids are no nodes. A parent that is no node is no parent.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gemaruang.functions.text import strip
@@ -96,80 +100,97 @@ def _walk(links: DataFrame) -> DataFrame:
     return out
 
 
-def _dfs(ids: list[str], parents: list[str | None]) -> tuple[list[str], list[int], list[int]]:
-    """Root, depth and order of each node of whole components; children in order of id, colours 0 white, 1 grey, 2 black."""
+def _traversal(ids: list[str], parents: list[str | None]) -> Iterator[tuple[int, list[int], int]]:
+    """(node, trail, cycle) of every node of whole components, depth first, children in order of id.
+
+    ``trail`` has the nodes from the top of the tree down to the node, as a list that changes while the walk goes on; ``cycle`` is the
+    least node of the cycle that the top lies on, or -1. Colours: 0 white, 1 grey, 2 black.
+    """
     at = {v: i for i, v in enumerate(ids)}
     up = [at[p] if p is not None else -1 for p in parents]
-    children: list[list[int]] = [[] for _ in ids]
-    for i in sorted(range(len(ids)), key=ids.__getitem__, reverse=True):
-        if up[i] >= 0:
-            children[up[i]].append(i)
-    colour, root, depth = [0] * len(ids), [""] * len(ids), [0] * len(ids)
-    on_cycle: set[int] = set()
-    starts = [i for i in range(len(ids)) if up[i] < 0]
-    # what no root reaches lies on or below a cycle: a grey node met on the way up closes it
-    reached = [False] * len(ids)
-    stack = list(starts)
-    while stack:
-        v = stack.pop()
-        reached[v] = True
-        stack += children[v]
-    for i in range(len(ids)):
-        if reached[i] or colour[i]:
-            continue
-        trail, v = [], i
-        while not colour[v]:
+    order = sorted(range(len(ids)), key=ids.__getitem__, reverse=True)
+    colour, cycle = [0] * len(ids), [-1] * len(ids)
+    for i in order:
+        # up the parents through white nodes: a grey one closes a cycle by a back edge
+        grey, v = [], i
+        while v >= 0 and not colour[v]:
             colour[v] = 1
-            trail.append(v)
+            grey.append(v)
             v = up[v]
-        if colour[v] == 1:
-            on_cycle.update(trail[trail.index(v) :])
-        for w in trail:
+        if v >= 0 and colour[v] == 1:
+            ring = grey[grey.index(v) :]
+            least = min(ring, key=ids.__getitem__)
+            for w in ring:
+                cycle[w] = least
+        for w in grey:
             colour[w] = 2
-    colour = [0] * len(ids)
-    order = [0] * len(ids)
-    seen = 0
-    for start in [*starts, *sorted(on_cycle)]:
-        stack = [start]
-        if start in on_cycle:
-            depth[start] = CYCLE_DEPTH
+    children: list[list[int]] = [[] for _ in ids]
+    tops = []
+    for i in order:
+        if up[i] < 0 or cycle[i] >= 0:
+            tops.append(i)
         else:
-            root[start] = ids[start]
+            children[up[i]].append(i)
+    trail: list[int] = []
+    for top in reversed(tops):
+        stack = [(top, 0)]
         while stack:
-            v = stack[-1]
-            if colour[v] == 0:
-                colour[v] = 1
-                order[v] = seen = seen + 1
-                for w in children[v]:
-                    if w in on_cycle:
-                        continue
-                    root[w] = root[v]
-                    depth[w] = BELOW_CYCLE_DEPTH if depth[v] < 0 else depth[v] + 1
-                    stack.append(w)
-            else:
-                colour[v] = 2
-                stack.pop()
-    return root, depth, order
-
-
-def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One task's components, whole and sorted by component."""
-
-    def flush(ids: list[str], parents: list) -> pd.DataFrame:
-        root, depth, _ = _dfs(ids, parents)
-        return pd.DataFrame({"id": ids, "root_id": root, "depth": depth})
-
-    current, ids, parents = None, [], []
-    for b in batches:
-        for comp, node, parent in zip(b["component"], b["node"], b["parent"]):
-            if comp != current and len(ids) >= 4096:
-                yield flush(ids, parents)
-                ids, parents = [], []
-            current = comp
-            ids.append(node)
-            parents.append(parent)
-    if ids:
-        yield flush(ids, parents)
+            v, depth = stack.pop()
+            del trail[depth:]
+            trail.append(v)
+            yield v, trail, cycle[top]
+            stack += [(w, depth + 1) for w in children[v]]
+
+
+def _tree_rows(ids: list[str], v: int, trail: list[int], cycle: int) -> list[tuple]:
+    if cycle < 0:
+        return [(ids[v], ids[trail[0]], len(trail) - 1)]
+    return [(ids[v], "", CYCLE_DEPTH if len(trail) == 1 else BELOW_CYCLE_DEPTH)]
+
+
+def _path_rows(ids: list[str], v: int, trail: list[int], cycle: int) -> list[tuple]:
+    return [(ids[v], [ids[w] for w in trail])] if cycle < 0 else []
+
+
+def _descendant_rows(ids: list[str], v: int, trail: list[int], cycle: int) -> list[tuple]:
+    n = len(trail) - 1
+    return [(ids[w], ids[v], n - i) for i, w in enumerate(trail[:-1])]
+
+
+def _cycle_rows(ids: list[str], v: int, trail: list[int], cycle: int) -> list[tuple]:
+    return [(ids[v], ids[cycle])] if cycle >= 0 and len(trail) == 1 else []
+
+
+def _walked(small: DataFrame, rows: Callable[[list[str], int, list[int], int], list[tuple]], schema: str) -> DataFrame:
+    """What ``rows`` writes on a walk of co-located components (component, node, parent), many to a task and one after another."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+
+        def walk(ids: list[str], parents: list[str | None]) -> Iterator[pd.DataFrame]:
+            nonlocal out
+            for v, trail, cycle in _traversal(ids, parents):
+                out += rows(ids, v, trail, cycle)
+                if len(out) >= 50_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+
+        current, ids, parents = None, [], []
+        for b in batches:
+            for comp, node, parent in zip(b["component"], b["node"], b["parent"]):
+                if comp != current and len(ids) >= 4096:
+                    yield from walk(ids, parents)
+                    ids, parents = [], []
+                current = comp
+                ids.append(node)
+                parents.append(parent)
+        yield from walk(ids, parents)
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    placed = small.select("component", "node", "parent").repartition("component").sortWithinPartitions("component")
+    return placed.mapInPandas(run, schema)
 
 
 def _marked_cycles(cyclic: DataFrame) -> DataFrame:
@@ -193,44 +214,44 @@ def _marked_cycles(cyclic: DataFrame) -> DataFrame:
         count = now
 
 
-def hierarchy(links: DataFrame, max_component: int = 200_000) -> DataFrame:
-    """(id, root_id, depth) of every node of ``links`` (node, parent).
+def _located(links: DataFrame, max_component: int, max_pairs: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(small, large): the nodes of components that are co-located, and those of larger ones with ``on`` for those on a cycle.
 
-    Roots have themselves and 0; nodes on a cycle ``''`` and -1, nodes below one ``''`` and -2. An empty table gives no rows.
+    ``max_pairs`` also bounds the sum of a small component's depths, for walks that write a row for each ancestor.
     """
-    spark = links.sparkSession
     state = _walk(links)
-    sizes = state.groupBy(F.col("up").alias("component")).agg(F.count(F.lit(1)).alias("members"), F.max(F.col("cut").cast("int")).alias("cyclic"))
-    # at most (all nodes / max_component) components are large; their labels are the only ones that are broadcast
-    large = cut(sizes.filter(F.col("members") > max_component))
+    sizes = state.groupBy(F.col("up").alias("component")).agg(F.count(F.lit(1)).alias("members"), F.sum("steps").alias("pairs"), F.max(F.col("cut").cast("int")).alias("cyclic"))
+    over = F.col("members") > max_component
+    if max_pairs is not None:
+        over = over | (F.col("pairs") > max_pairs)
+    # at most (all nodes / max_component) components are large, or (all pairs / max_pairs); their labels are the only ones that are broadcast
+    large = cut(sizes.filter(over))
     nodes = state.withColumnRenamed("up", "component")
     if large.isEmpty():
-        small, rest = nodes, None
-    else:
-        marks = F.broadcast(large.select("component", "cyclic"))
-        small = nodes.join(marks, "component", "left_anti")
-        rest = nodes.join(marks, "component")
-    walked = small.select("component", "node", "parent").repartition("component").sortWithinPartitions("component").mapInPandas(_components, "id string, root_id string, depth long")
-    if rest is None:
-        return walked
-    plain = rest.filter("cyclic = 0").select(F.col("node").alias("id"), F.col("component").alias("root_id"), F.col("steps").alias("depth"))
-    cyclic = rest.filter("cyclic = 1")
-    marked = _marked_cycles(cyclic).select("node", F.lit(True).alias("on"))
-    looped = cyclic.join(marked, "node", "left").select(
-        F.col("node").alias("id"), F.lit("").alias("root_id"), F.when(F.col("on"), F.lit(CYCLE_DEPTH)).otherwise(F.lit(BELOW_CYCLE_DEPTH)).cast("long").alias("depth")
-    )
-    return walked.unionByName(plain).unionByName(looped)
+        return nodes, None
+    marks = F.broadcast(large.select("component", "cyclic"))
+    rest = cut(nodes.join(marks, "component"))
+    marked = _marked_cycles(rest.filter("cyclic = 1")).select("node", F.lit(True).alias("on"))
+    return nodes.join(marks, "component", "left_anti"), rest.join(marked, "node", "left").withColumn("on", F.coalesce("on", F.lit(False)))
 
 
-def ancestors(links: DataFrame) -> DataFrame:
-    """(id, ancestor, distance): every proper ancestor of every node that is on or below no cycle, by doubling the closure.
+def hierarchy(links: DataFrame, max_component: int = 200_000) -> DataFrame:
+    """(id, root_id, depth) of every node of ``links`` (node, parent).
 
-    Seen from the ancestor these rows are all its descendants. The output is as large as the sum of all depths; it is
-    kept as rows, so that no node's descendants meet in one task.
+    Roots have themselves and 0; nodes on a cycle ``''`` and -1, nodes below one ``''`` and -2. An empty table gives no rows.
     """
-    acyclic = hierarchy(links).filter("depth >= 0").select(F.col("id").alias("node"))
-    base = cut(links.join(acyclic, "node", "left_semi").filter(F.col("parent").isNotNull()).select(F.col("node").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")))
-    closure, reach = base, 1
+    small, large = _located(links, max_component)
+    out = _walked(small, _tree_rows, "id string, root_id string, depth long")
+    if large is None:
+        return out
+    looped = F.col("cyclic") == 1
+    depth = F.when(~looped, F.col("steps")).when(F.col("on"), CYCLE_DEPTH).otherwise(BELOW_CYCLE_DEPTH)
+    return out.unionByName(large.select(F.col("node").alias("id"), F.when(looped, "").otherwise(F.col("component")).alias("root_id"), depth.cast("long").alias("depth")))
+
+
+def _closure(edges: DataFrame) -> DataFrame:
+    """(id, ancestor, distance) of the trees of ``edges`` (node, parent), by doubling; kept as rows, so that no node's descendants meet in one task."""
+    closure, reach = cut(edges.select(F.col("node").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance"))), 1
     while True:
         edge = closure.filter(F.col("distance") == reach)
         if edge.isEmpty():
@@ -241,24 +262,49 @@ def ancestors(links: DataFrame) -> DataFrame:
         reach *= 2
 
 
-def paths(links: DataFrame, separator: str = "/") -> DataFrame:
+def descendants(links: DataFrame, max_component: int = 200_000, max_pairs: int = 20_000_000) -> DataFrame:
+    """(id, descendant, distance): every node below every node; below a node of a cycle are the nodes of its own trees.
+
+    The output is as large as the sum of all depths.
+    """
+    small, large = _located(links, max_component, max_pairs)
+    out = _walked(small, _descendant_rows, "id string, descendant string, distance long")
+    if large is None:
+        return out
+    trees = large.filter(F.col("parent").isNotNull() & ~F.col("on"))
+    return out.unionByName(_closure(trees).select(F.col("ancestor").alias("id"), F.col("id").alias("descendant"), "distance"))
+
+
+def paths(links: DataFrame, separator: str = "/", max_component: int = 200_000, max_pairs: int = 20_000_000) -> DataFrame:
     """(id, path): the ids from the root to the node; nodes on or below a cycle have none.
 
     A path is as long as the node is deep, so its array is bounded by the depth, not by the component.
     """
-    above = ancestors(links).groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("distance"), "ancestor")), asc=False).alias("up"))
-    own = hierarchy(links).filter("depth >= 0").select("id")
-    steps: Column = F.transform(F.coalesce("up", F.array().cast("array<struct<distance:bigint,ancestor:string>>")), lambda s: s["ancestor"])
-    return own.join(above, "id", "left").select("id", F.concat_ws(separator, steps, F.array("id")).alias("path"))
+    small, large = _located(links, max_component, max_pairs)
+    out = _walked(small, _path_rows, "id string, path array<string>")
+    if large is not None:
+        plain = large.filter("cyclic = 0")
+        up = F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False)
+        above = _closure(plain.filter(F.col("parent").isNotNull())).groupBy("id").agg(F.transform(up, lambda s: s["ancestor"]).alias("above"))
+        own = plain.select(F.col("node").alias("id")).join(above, "id", "left")
+        out = out.unionByName(own.select("id", F.concat(F.coalesce("above", F.array().cast("array<string>")), F.array("id")).alias("path")))
+    return out.select("id", F.concat_ws(separator, "path").alias("path"))
 
 
-def descendant_counts(links: DataFrame) -> DataFrame:
-    """(id, descendants): number of all nodes below each node on or below no cycle."""
-    own = hierarchy(links).filter("depth >= 0").select("id")
-    below = ancestors(links).groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("descendants"))
-    return own.join(below, "id", "left").select("id", F.coalesce("descendants", F.lit(0)).cast("long").alias("descendants"))
+def descendant_counts(links: DataFrame, max_component: int = 200_000, max_pairs: int = 20_000_000) -> DataFrame:
+    """(id, descendants): number of all nodes below each node."""
+    below = descendants(links, max_component, max_pairs).groupBy("id").agg(F.count(F.lit(1)).alias("descendants"))
+    return links.select(F.col("node").alias("id")).join(below, "id", "left").select("id", F.coalesce("descendants", F.lit(0)).cast("long").alias("descendants"))
 
 
-def cycles(links: DataFrame) -> DataFrame:
-    """(id): every node that lies on a cycle; a self-reference is a cycle of one."""
-    return hierarchy(links).filter(F.col("depth") == CYCLE_DEPTH).select("id")
+def cycles(links: DataFrame, max_component: int = 200_000) -> DataFrame:
+    """(id, cycle_id, back_edge) of every node on a cycle: the cycle's least id, and whether its link is the one that leads back there.
+
+    A self-reference is a cycle of one.
+    """
+    small, large = _located(links, max_component)
+    out = _walked(small, _cycle_rows, "id string, cycle_id string")
+    if large is not None:
+        out = out.unionByName(large.filter("on").select(F.col("node").alias("id"), F.col("component").alias("cycle_id")))
+    parent = links.select(F.col("node").alias("id"), "parent")
+    return out.join(parent, "id").select("id", "cycle_id", (F.col("parent") == F.col("cycle_id")).alias("back_edge"))

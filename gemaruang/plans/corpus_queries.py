@@ -33,7 +33,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.ancestors(_links(spark, d)).select(F.col("ancestor").alias("id"), F.col("id").alias("descendant"), "distance")
+    return hierarchy.descendants(_links(spark, d))
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +71,9 @@ up AS (SELECT id, parent AS above FROM loose UNION SELECT u.id, l.parent FROM up
 
 
 
+_RINGS = "rings AS (SELECT u.id, min(a.above) AS cycle_id FROM up u JOIN up a ON a.id = u.id WHERE u.above = u.id GROUP BY 1)"
+
+
 def _groups(n: int) -> str:
     """The n fields of a well-formed record as a list."""
     shape = "(?s)^" + ",".join([_F] * n) + "$"
@@ -115,9 +118,10 @@ WHERE regexp_replace(sentiment_prob, '[{_WS}]', '', 'g') <> '' AND NOT regexp_ma
 CASE WHEN want = 4 THEN f3 END AS aspect_category, CASE WHEN want = 4 THEN f4 END AS sentiment_prob FROM parsed WHERE reason IS NULL""",
     "p5_found": f"WITH RECURSIVE {_PARENT_SQL} SELECT id, root_id, depth FROM down UNION ALL SELECT id, '', CASE WHEN EXISTS (SELECT 1 FROM up u WHERE u.id = l.id AND u.above = l.id) THEN -1 ELSE -2 END FROM loose l",
     "p5_paths": f"WITH RECURSIVE {_PARENT_SQL} SELECT id, path FROM down",
-    "p5_cycles": f"WITH RECURSIVE {_PARENT_SQL} SELECT id FROM up WHERE above = id",
-    "p5_descendants": f"""WITH RECURSIVE {_PARENT_SQL},
-pairs AS (SELECT l.parent AS id, l.id AS descendant, 1::BIGINT AS distance FROM links l JOIN down d ON d.id = l.id WHERE l.parent IS NOT NULL
-  UNION ALL SELECT p.id, l.id, p.distance + 1 FROM pairs p JOIN links l ON l.parent = p.descendant)
+    "p5_cycles": f"WITH RECURSIVE {_PARENT_SQL}, {_RINGS} SELECT r.id, cycle_id, l.parent = cycle_id AS back_edge FROM rings r JOIN links l USING (id)",
+    "p5_descendants": f"""WITH RECURSIVE {_PARENT_SQL}, {_RINGS},
+tree AS (SELECT l.id, l.parent FROM links l WHERE l.parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM rings r WHERE r.id = l.id)),
+pairs AS (SELECT parent AS id, id AS descendant, 1::BIGINT AS distance FROM tree
+  UNION ALL SELECT p.id, t.id, p.distance + 1 FROM pairs p JOIN tree t ON t.parent = p.descendant)
 SELECT id, descendant, distance FROM pairs""",
 }

@@ -22,7 +22,7 @@ def test_core_query_matches_sql(spark, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", ["p4_found", "p4_loaded", "p5_found", "p5_cycles", "p5_paths"])
+@pytest.mark.parametrize("name", ["p4_found", "p4_loaded", "p5_found", "p5_cycles", "p5_paths", "p5_descendants"])
 def test_corpus_query_matches_sql(spark, name):
     a, b = same_as_sql(spark, corpus_queries.QUERIES[name], corpus_queries.SQL[name])
     assert a == b
