@@ -20,6 +20,12 @@ def labelled(df: DataFrame, aspect: str, vector: str, order: str, length: int =
     return df.select("id", F.col(aspect).alias("aspect"), (V.normalize(vec) if normalize else vec).alias("vec"), F.col(order).alias("ord"))
 
 
+def wrong_lengths(df: DataFrame, aspect: str, vector: str, order: str, length: int = 3) -> DataFrame:
+    """(ord, id, aspect, entries): the rows that ``labelled`` refuses, whose lists parse but have another number of entries."""
+    size = F.size(V.parse_list(vector))
+    return df.select(F.col(order).alias("ord"), "id", F.col(aspect).alias("aspect"), size.alias("entries")).filter((F.col("entries") >= 0) & (F.col("entries") != length))
+
+
 def last_vectors(rows: DataFrame) -> DataFrame:
     """(id, aspect, vec): the last parsed vector of each id and aspect."""
     return rows.filter(F.col("aspect").isNotNull() & F.col("vec").isNotNull()).groupBy("id", "aspect").agg(F.max_by("vec", "ord").alias("vec"))

@@ -147,18 +147,41 @@ def text_lines(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(T.strip(text).alias("value")).filter(F.col("value") != "")
 
 
-def pivot_aspects(predictions: DataFrame, meta: DataFrame, order: str = "ord", most_aspects: int = 2_000) -> DataFrame:
+def column_names(values: list[str], taken: Iterable[str]) -> list[str]:
+    """A column name for each value: the value itself, with a number behind it where one before it differs by case only."""
+    used, out = {t.lower() for t in taken}, []
+    for v in values:
+        name, n = v, 1
+        while name.lower() in used:
+            n += 1
+            name = f"{v}_{n}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def pivot_aspects(predictions: DataFrame, meta: DataFrame, order: str = "ord", most_aspects: int = 10_000) -> DataFrame:
     """id, one column for each aspect in order, community: the last prediction of each id and aspect, blank where there is none.
 
-    Duplicate rows of ``meta`` stay; predictions for unknown ids only add their column. Column names must differ beyond case.
+    Duplicate rows of ``meta`` stay; predictions for unknown ids only add their column. Columns of aspects that differ by case only, or from ``id`` and
+    ``community``, are told apart as in ``column_names``. More than ``most_aspects`` aspects are no table; ``long_aspects`` has them all.
     """
     names = [r[0] for r in predictions.select("aspect_category").filter(F.col("aspect_category").isNotNull()).distinct().orderBy("aspect_category").limit(most_aspects + 1).collect()]
     if len(names) > most_aspects:
         raise ValueError(f"more than {most_aspects} aspects; keep the long form")
+    columns = [f"a{i}" for i in range(len(names))]
     last = predictions.groupBy("id", "aspect_category").agg(F.max_by("sentiment_prob", order).alias("p"))
-    wide = last.groupBy("id").agg(*[F.max(F.when(F.col("aspect_category") == n, F.col("p"))).alias(n) for n in names]) if names else last.select("id").distinct()
-    joined = meta.select("id", "community").join(wide, "id", "left")
-    return joined.select("id", *[T.blank_if_null(f"`{n}`").alias(n) for n in names], T.blank_if_null(F.col("community").cast("string")).alias("community"))
+    wide = last.groupBy("id").pivot("aspect_category", names).agg(F.max("p")).toDF("id", *columns) if names else last.select("id").distinct()
+    joined = meta.select("id", F.col("community").cast("string").alias("community")).join(wide, "id", "left")
+    return joined.select("id", *columns, "community").na.fill("", [*columns, "community"]).toDF("id", *column_names(names, ("id", "community")), "community")
+
+
+def unpivot_aspects(wide: DataFrame, names: list[str]) -> DataFrame:
+    """(id, community, aspect, sentiment_prob) of the cells of ``pivot_aspects`` that are not blank, ``names`` being those of its columns in order."""
+    plain = wide.toDF("id", *[f"a{i}" for i in range(len(names))], "community")
+    cells = plain.select("id", "community", F.posexplode(F.array(*[f"a{i}" for i in range(len(names))])).alias("i", "sentiment_prob")).filter("sentiment_prob <> ''")
+    table = wide.sparkSession.createDataFrame(list(enumerate(names)), "i int, aspect string")
+    return cells.join(F.broadcast(table), "i").select("id", "community", "aspect", "sentiment_prob")
 
 
 def long_aspects(predictions: DataFrame, meta: DataFrame, order: str = "ord") -> DataFrame:

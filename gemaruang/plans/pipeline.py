@@ -84,16 +84,16 @@ def run(
         return propagation.double_propagation(tokens, texts, aspects, lexicon)
 
     found = timed("aspects", predict)
-    edges = timed("graph", lambda: cut(graph.reply_edges(t)))
 
     def parts() -> DataFrame:
         if "community" in corpus.columns:
             return corpus.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max_by("community", order).alias("community"))
-        return communities.detect(t.select("id"), edges, algo, k, resolution)
+        # only detection needs the explicit graph; the merged one is made from the groups
+        return communities.detect(t.select("id"), graph.reply_edges(t), algo, k, resolution)
 
     partition = timed("communities", lambda: cut(parts()))
     nodes, node_map = timed("contraction", lambda: graph.merge_by_user(t, partition, "name" in corpus.columns))
-    merged = graph.merge_edges(edges, node_map)
+    merged = timed("graph", lambda: graph.merged_group_edges(t, node_map))
 
     def vectors() -> DataFrame:
         if not aggregate_users:

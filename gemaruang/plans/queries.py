@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gemaruang.functions import text as T
 from gemaruang.functions import vectors as V
 from gemaruang.operators import communities, consensus, graph, metrics, nulls, propagation, responses, tables
+from gemaruang.session import cut
 from gemaruang.sources import parsed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +18,7 @@ SQL: dict[str, str] = {}
 
 STOPWORDS = ("yang", "di", "dan", "untuk", "dari", "ini", "itu")
 PHRASES = ("jadwal imunisasi", "bantuan pangan", "air bersih", "kartu peserta", "laporan keuangan panitia")
-NULL_RUNS = 20
+NULL_RUNS = 100
 
 
 def query(sql: str | None = None):
@@ -110,6 +111,17 @@ def ecr_report(spark, d):
     return consensus.summary_lines(consensus.ratio(*_event_vectors(spark, d, 100, (160, 120))))
 
 
+@query(
+    f"""WITH {_events_sql(*_SPARSE)}, {_cc_sql(1)}, sz AS (SELECT community, count(DISTINCT id) AS k FROM users GROUP BY 1)
+SELECT 1::INT AS section, a::VARCHAR AS a, '' AS b, format('Community {{}} (size={{}}): CC(within)={{:.4f}}', a, k, cc) AS value FROM cc JOIN sz ON community = a WHERE a = b
+UNION ALL SELECT 1, a::VARCHAR, aspect, format('   Aspect {{}}: {{:.4f}}', aspect, ac) FROM ac WHERE a = b AND active
+UNION ALL SELECT 2, a::VARCHAR, b::VARCHAR, format('Between {{}} & {{}}: CC={{:.4f}}', a, b, cc) FROM cc WHERE a < b"""
+)
+def ecr_details(spark, d):
+    v = _event_vectors(spark, d, 100, (160, 120))
+    return consensus.detail_lines(consensus.within(*v), consensus.within_aspects(*v).filter("active"), consensus.between(*v))
+
+
 @query(
     """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
 u AS (SELECT vec_id, label, unnest(range(1, len(e) + 1)) AS i, unnest(e) / n AS x FROM v WHERE n > 0),
@@ -279,18 +291,15 @@ def absa_by_community(spark, d):
     return out.select("id", "community", "aspect", *[F.round(F.col("vec")[i], 6).alias(n) for i, n in enumerate(("pos", "neu", "neg"))])
 
 
-def _wide_columns(spark: SparkSession, d: str) -> list[str]:
-    return [r[0] for r in _t(spark, d, "aspects").orderBy("aspect_no").select("aspect_category").collect()]
-
-
 @query(
-    """SELECT c.id, coalesce(c.community::VARCHAR, '') AS community, coalesce(COLUMNS(w.* EXCLUDE (id)), '') FROM community_input c
-LEFT JOIN (PIVOT (SELECT id, aspect_category, arg_max(sentiment_prob, pred_id) AS p FROM absa_predictions SEMI JOIN aspects USING (aspect_category) WHERE sentiment_prob IS NOT NULL GROUP BY ALL) ON aspect_category USING max(p) GROUP BY id) w ON w.id = c.id"""
+    """WITH l AS (SELECT id, aspect_category AS aspect, arg_max(sentiment_prob, pred_id) AS p FROM absa_predictions WHERE sentiment_prob IS NOT NULL AND aspect_category IS NOT NULL GROUP BY ALL)
+SELECT c.id, coalesce(c.community::VARCHAR, '') AS community, aspect, p AS sentiment_prob FROM community_input c JOIN l USING (id) WHERE p <> ''"""
 )
 def absa_pivot(spark, d):
-    """Predictions that are spelled as in the reference list; typed ones differ by case only and could not be columns side by side."""
-    p = _t(spark, d, "absa_predictions").join(_t(spark, d, "aspects").select("aspect_category"), "aspect_category", "left_semi")
-    return tables.pivot_aspects(p.filter(F.col("sentiment_prob").isNotNull()).withColumnRenamed("pred_id", "ord"), _t(spark, d, "community_input"))
+    """The wide table of all predictions as they are typed, and back: its columns follow the data, so its cells are compared."""
+    p = _t(spark, d, "absa_predictions").filter("sentiment_prob is not null and aspect_category is not null").withColumnRenamed("pred_id", "ord")
+    names = [r[0] for r in p.select("aspect_category").distinct().orderBy("aspect_category").collect()]
+    return tables.unpivot_aspects(tables.pivot_aspects(p, _t(spark, d, "community_input")), names)
 
 
 @query(
@@ -373,15 +382,15 @@ def user_contraction(spark, d):
 )
 def contracted_edges(spark, d):
     t = _tweets(spark, d)
-    return graph.merge_edges(graph.reply_edges(t), graph.merge_by_user(t, _partition(spark, d))[1])
+    return graph.merged_group_edges(t, graph.merge_by_user(t, _partition(spark, d))[1])
 
 
-_TREE = f"e AS ({_RULES[4]})"
+_MODULARITY = "j AS (SELECT a.c AS x, b.c AS y FROM e JOIN part a ON a.id = e.u JOIN part b ON b.id = e.v), m AS (SELECT count(*) AS m FROM e), dg AS (SELECT c, count(*) AS d FROM (SELECT x AS c FROM j UNION ALL SELECT y FROM j) GROUP BY 1), ins AS (SELECT x AS c, count(*) AS k FROM j WHERE x = y GROUP BY 1) SELECT round(sum(coalesce(k, 0) / m - pow(d / (2 * m), 2)), 6) AS modularity FROM dg LEFT JOIN ins USING (c) CROSS JOIN m"
 
 
-@query(f"WITH {_TWEETS}, {_TREE}, {_PART}, j AS (SELECT a.c AS x, b.c AS y FROM e JOIN part a ON a.id = e.u JOIN part b ON b.id = e.v), m AS (SELECT count(*) AS m FROM e), dg AS (SELECT c, count(*) AS d FROM (SELECT x AS c FROM j UNION ALL SELECT y FROM j) GROUP BY 1), ins AS (SELECT x AS c, count(*) AS k FROM j WHERE x = y GROUP BY 1) SELECT round(sum(coalesce(k, 0) / m - pow(d / (2 * m), 2)), 6) AS modularity FROM dg LEFT JOIN ins USING (c) CROSS JOIN m")
+@query(f"WITH {_TWEETS}, {_EDGES}, {_PART}, {_MODULARITY}")
 def partition_modularity(spark, d):
-    return _round(communities.modularity(_partition(spark, d), graph.reply_edges(_tweets(spark, d), (4,))), "modularity")
+    return _round(communities.modularity(_partition(spark, d), graph.reply_edges(_tweets(spark, d))), "modularity")
 
 
 @query()
@@ -423,13 +432,18 @@ dw AS (SELECT doc, sum(weight) AS s FROM tokens JOIN lex ON lex.word = w GROUP B
 scored AS (SELECT c.doc, c.id, target, array_to_string(list_sort(list_distinct(list(opinion))), ',') AS matched_opinions, CASE WHEN count_if(wt <> 0) > 0 THEN sum(CASE WHEN ng THEN -wt ELSE wt END) ELSE coalesce(any_value(dw.s), 0) * 0.3 END AS total_weight, count_if(wt <> 0) AS opinion_count FROM cand c LEFT JOIN dw ON dw.doc = c.doc GROUP BY ALL)"""
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("doc"), F.col("doc_id").cast("string").alias("id"), "text")
+
+
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("doc"), F.col("doc_id").cast("string").alias("id"), "text")
-    return parsed.rule_tokens(docs)
+    """Sentences as arrays."""
+    return parsed.rule_sentences(_docs(spark, d))
 
 
 def _found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    tokens = _tokens(spark, d)
+    # read by the rules, the pairs and the scores: cut into words once
+    tokens = cut(_tokens(spark, d))
     weights = propagation.lexicon_weights(_t(spark, d, "lexicon"))
     edges = propagation.dependency_edges(tokens)
     known = propagation.fixpoint(edges, weights.select("word"))
@@ -442,7 +456,7 @@ def _aspects(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT doc, sent::INT AS sent, tok::INT AS tok, w AS text, pos, (tok)::INT AS head, deprel FROM tokens")
 def conllu_parse(spark, d):
-    t = _tokens(spark, d)
+    t = parsed.rule_tokens(_docs(spark, d))
     line = F.concat_ws("\t", F.col("wid").cast("string"), "text", "lemma", "pos", F.lit("_"), F.lit("_"), F.col("head").cast("string"), "deprel", F.lit("_"), F.lit("_"))
     sents = t.groupBy("doc", "id", "sent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok", line.alias("l")))), lambda s: s["l"]), "\n").alias("s"))
     docs = sents.groupBy("doc", "id").agg(F.array_sort(F.collect_list(F.struct("sent", "s"))).alias("a"))
@@ -494,27 +508,46 @@ def dp_phrases(spark, d):
     return propagation.expanded_phrases(tokens, found)
 
 
-_TFIDF = rf"""
+def _tfidf_sql(source: str) -> str:
+    return rf"""
 aterm AS (SELECT aspect_no AS o, aspect_category AS cat, unnest(regexp_extract_all(lower(concat_ws('. ', aspect_category, description)), '{_W}{{2,}}')) AS term FROM aspects),
 tf AS (SELECT o, cat, term, count(*) AS tf FROM aterm GROUP BY ALL), df AS (SELECT term, count(DISTINCT o) AS df FROM aterm GROUP BY 1),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM aspects)) / (1 + df)) + 1 AS idf FROM df),
 aw AS (SELECT o, cat, term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY o)) AS w FROM tf JOIN idf USING (term)),
-x AS (SELECT DISTINCT text FROM community_input WHERE text IS NOT NULL), xt AS (SELECT text, unnest(regexp_extract_all(lower(text), '{_W}{{2,}}')) AS term FROM x),
+x AS ({source}), xt AS (SELECT text, unnest(regexp_extract_all(lower(text), '{_W}{{2,}}')) AS term FROM x),
 xf AS (SELECT text, term, count(*) AS tf FROM xt GROUP BY ALL), xw AS (SELECT text, term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY text)) AS w FROM xf JOIN idf USING (term)),
 sc AS (SELECT text, o, cat, round(sum(xw.w * aw.w), 12) AS s FROM xw JOIN aw USING (term) GROUP BY ALL),
 best AS (SELECT text, arg_max(cat, (s, -o)) AS cat, max(s) AS s FROM sc GROUP BY 1)"""
 
 
+_TFIDF = _tfidf_sql("SELECT DISTINCT text FROM community_input WHERE text IS NOT NULL")
+
+
 @query(f"WITH {_TFIDF} SELECT text, coalesce(cat, (SELECT arg_min(aspect_category, aspect_no) FROM aspects)) AS aspect_category, round(least(greatest(coalesce(s, 0), 0), 1), 4) AS similarity FROM x LEFT JOIN best USING (text)")
 def dp_tfidf_aspect(spark, d):
     texts = _t(spark, d, "community_input").filter("text is not null").select("text")
     return propagation.nearest_aspect(texts, _aspects(spark, d), "text")
 
 
-@query()
+_SHARES = "abs(total_weight) * 2.0 AS big, greatest(0.1, 1 - abs(total_weight) * 0.5) AS mid"
+
+
+def _share_sql(above: str, below: str, none: int) -> str:
+    return f"round(CASE WHEN total_weight = 0 THEN {none} WHEN total_weight > 0 THEN {above} / (big + mid + 0.1) ELSE {below} / (big + mid + 0.1) END, 4)"
+
+
+@query(
+    f"""WITH RECURSIVE {_TOKENS}, {_DEPS}, {_KNOWN}, {_PAIRS}, {_LEX}, {_NEG}, {_SCORED}, {_CTX},
+pr AS (SELECT s.* REPLACE (round(total_weight, 9) AS total_weight), coalesce(x.context, target) AS context FROM scored s LEFT JOIN ctx x ON x.doc = s.doc AND x.w = s.target),
+{_tfidf_sql("SELECT DISTINCT context AS text FROM pr")}, sh AS (SELECT *, {_SHARES} FROM pr)
+SELECT doc, id, documents.text AS original_text, target AS aspect_term, coalesce(cat, (SELECT arg_min(aspect_category, aspect_no) FROM aspects)) AS aspect_category, round(least(greatest(coalesce(best.s, 0), 0), 1), 4) AS similarity,
+  matched_opinions, round(total_weight, 6) AS total_weight, {_share_sql('big', '0.1', 0)} AS pos, {_share_sql('mid', 'mid', 1)} AS neu, {_share_sql('0.1', 'big', 0)} AS neg, context AS context_phrase, opinion_count
+FROM sh JOIN documents ON doc_id = doc LEFT JOIN best ON best.text = context"""
+)
 def dp_predictions(spark, d):
     texts = _t(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("doc"), "text")
-    return propagation.double_propagation(_tokens(spark, d), texts, _aspects(spark, d), _t(spark, d, "lexicon"))
+    out = propagation.double_propagation(_tokens(spark, d), texts, _aspects(spark, d), _t(spark, d, "lexicon"))
+    return _round(out, "total_weight").withColumns({n: F.col("sentiment_prob")[i] for i, n in enumerate(("pos", "neu", "neg"))}).drop("sentiment_prob")
 
 
 @query(
@@ -531,7 +564,12 @@ def dp_sentiment(spark, d):
 
 def _answers(spark: SparkSession, d: str, form: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Answers as a model would give them, made from the predictions: one for each batch of ten."""
-    p = _t(spark, d, "absa_predictions").filter("text is not null and aspect_category is not null and sentiment_prob is not null").select("pred_id", "id", "text", "aspect_category", "sentiment_prob").withColumn("ord", F.col("pred_id"))
+    p = _t(spark, d, "absa_predictions").filter("text is not null and aspect_category is not null and sentiment_prob is not null")
+    return *_batched_answers(p, d, form), _aspects(spark, d)
+
+
+def _batched_answers(p: DataFrame, d: str, form: str) -> tuple[DataFrame, DataFrame]:
+    p = p.select("pred_id", "id", "text", "aspect_category", "sentiment_prob").withColumn("ord", F.col("pred_id"))
     # a model repeats a text on one line
     batched = responses.batches(p.withColumn("text", F.regexp_replace("text", r"[\r\n]+", " ")), 10)
     probs = F.regexp_replace("sentiment_prob", r"[\[\]]", "")
@@ -540,7 +578,7 @@ def _answers(spark: SparkSession, d: str, form: str) -> tuple[DataFrame, DataFra
     else:
         block = F.format_string("Text %s\nCategory %s\nthe prob: [%s]", F.col("text"), F.col("aspect_category"), probs)
     answers = batched.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("answer"))
-    return answers, batched, _aspects(spark, d)
+    return answers, batched
 
 
 @query()
@@ -553,11 +591,29 @@ def llm_parse_flexible(spark, d):
     return responses.parse_answers(*_answers(spark, d, "flexible"))
 
 
+_KEY = lambda c: f"coalesce({_SQUEEZE(f"regexp_replace(regexp_replace({_STRIP(c)}, '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g')")}, '')"
+
+
+@query(
+    rf"""WITH p AS (SELECT *, (row_number() OVER (ORDER BY pred_id) - 1) // 10 AS batch, (pred_id % 36 + 1)::INT AS no FROM (SELECT pred_id, id, regexp_replace(text, '[
+]+', ' ', 'g') AS text FROM absa_predictions WHERE {_KEY('text')} <> '')),
+k AS (SELECT *, {_KEY('text')} AS k FROM p), f AS (SELECT batch, k, arg_min(id, pred_id) AS id FROM k GROUP BY ALL)
+SELECT k.batch, f.id, aspect_category, k.k AS text, count(*) AS rows FROM k JOIN f USING (batch, k) JOIN aspects ON aspect_no = no GROUP BY ALL"""
+)
+def llm_parse_planted(spark, d):
+    """Answers with known parts, in the asked-for form: each text that is not blank literally, aspects of the list, vectors that sum to one."""
+    p = _t(spark, d, "absa_predictions").filter(T.match_key("text") != "")
+    names = _aspects(spark, d).select((F.col("aspect_ord") - 1).alias("no"), F.col("aspect_category").alias("planted"))
+    p = p.withColumn("no", (F.col("pred_id") % 36).cast("int")).join(F.broadcast(names), "no").select("pred_id", "id", "text", F.col("planted").alias("aspect_category"), F.lit("[0.5, 0.3, 0.2]").alias("sentiment_prob"))
+    out = responses.parse_answers(*_batched_answers(p, d, "structured"), _aspects(spark, d))
+    return out.groupBy("batch", "id", "aspect_category", T.match_key("text").alias("text")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query()
 def fuzzy_match(spark, d):
     """Each typed aspect with its most similar entry of the list, distinct spellings once."""
     typed = _t(spark, d, "absa_predictions").select("aspect_category").filter("trim(aspect_category) <> ''").distinct()
-    names = F.array(*[F.lit(n) for n in _wide_columns(spark, d)])
+    names = F.array(*[F.lit(r[0]) for r in _aspects(spark, d).orderBy("aspect_ord").select("aspect_category").collect()])
     at = responses.fuzzy_index(T.match_key("aspect_category"), names, F.lit(responses.ASPECT_THRESHOLD))
     return typed.withColumn("i", at).select("aspect_category", F.when(F.col("i") >= 0, F.get(names, F.col("i"))).alias("matched"))
 
@@ -567,10 +623,19 @@ def match_keys(spark, d):
     return _t(spark, d, "community_input").select("row_id", T.match_key("text").alias("k"))
 
 
-@query("""SELECT string_agg(format('- "{}": {}', aspect_category, description), chr(10) ORDER BY aspect_no) AS aspect_lines FROM aspects""")
-def prompt_aspects(spark, d):
-    prompt = responses.system_prompt(_aspects(spark, d))
-    return prompt.select(F.regexp_extract("prompt", r'(?s)(- ".*?)\n\nUntuk', 1).alias("aspect_lines"))
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@query(f"""SELECT {_quoted(responses.PROMPT_HEAD)} || string_agg(format('- "{{}}": {{}}', aspect_category, description), chr(10) ORDER BY aspect_no) || {_quoted(responses.PROMPT_RULES)} AS prompt FROM aspects""")
+def prompt_system(spark, d):
+    return responses.system_prompt(_aspects(spark, d))
+
+
+@query(f"""WITH p AS (SELECT row_id, text, (row_number() OVER (ORDER BY row_id) - 1) // 25 AS batch FROM community_input WHERE text IS NOT NULL) SELECT batch, {_quoted(responses.USER_HEAD)} || string_agg('"' || text || '"', chr(10) ORDER BY row_id) || {_quoted(responses.USER_END)} AS prompt FROM p GROUP BY 1""")
+def prompt_users(spark, d):
+    t = _t(spark, d, "community_input").filter("text is not null").select(F.col("row_id").alias("ord"), "text")
+    return responses.user_prompts(responses.batches(t))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -586,6 +651,12 @@ def _pred(spark: SparkSession, d: str) -> DataFrame:
     return metrics.labelled(p.filter(F.coalesce(F.size(V.parse_list("sentiment_prob")) == 3, F.lit(False))), "aspect_category", "sentiment_prob", "pred_id")
 
 
+@query(rf"WITH n AS (SELECT pred_id AS ord, id, aspect_category AS aspect, CASE WHEN regexp_matches(sentiment_prob, '^\s*\[\s*\]\s*$') THEN 0 ELSE len({_list_sql('sentiment_prob')}) END::INT AS entries FROM absa_predictions) SELECT * FROM n WHERE entries <> 3")
+def eval_wrong_lengths(spark, d):
+    """The predictions that the evaluation refuses: with them there is no result, so the other evaluation queries are without them."""
+    return metrics.wrong_lengths(_t(spark, d, "absa_predictions"), "aspect_category", "sentiment_prob", "pred_id")
+
+
 _EVAL = f"""
 g0 AS (SELECT id, aspect_category_final AS aspect, {_list_sql('hard_label_final')} AS v, label_id AS o FROM labelled_corpus),
 p0 AS (SELECT * FROM (SELECT id, aspect_category AS aspect, {_list_sql('sentiment_prob')} AS v, pred_id AS o FROM absa_predictions) WHERE len(v) = 3),
@@ -692,8 +763,8 @@ b AS (SELECT run, a, b, sum(CASE WHEN q > 0 AND s > 0 THEN s / q ELSE 0 END) / c
 nulls AS (SELECT run::INT AS run, (SELECT avg(cc) FROM w WHERE w.run = r.run) / (SELECT avg(cc) FROM b WHERE b.run = r.run) AS ecr FROM runs r)"""
 
 
-def _null(spark: SparkSession, d: str, runs: int = NULL_RUNS) -> DataFrame:
-    return nulls.attribute_null(*_event_vectors(spark, d, 100, (160, 120)), runs=runs)
+def _null(spark: SparkSession, d: str) -> DataFrame:
+    return nulls.attribute_null(*_event_vectors(spark, d, 100, (160, 120)), runs=NULL_RUNS)
 
 
 @query(f"WITH {_NULL} SELECT run, round(ecr, 6) AS ecr FROM nulls")
@@ -707,9 +778,9 @@ def null_stats(spark, d):
     return _round(_round(nulls.null_stats(observed, _null(spark, d)), "obs", "null_mean", "null_std"), "z", digits=3)
 
 
-@query()
+@query(f"WITH {_NULL}, r AS (SELECT round(ecr, 9) AS ecr FROM nulls), lim AS (SELECT min(ecr) AS lo, (max(ecr) - min(ecr)) / 30 AS w FROM r), hb AS (SELECT CASE WHEN w > 0 THEN least(floor((ecr - lo) / w), 29) ELSE 0 END::INT AS bin, lo, w FROM r CROSS JOIN lim) SELECT bin, round(lo + bin * w, 6) AS low, round(lo + (bin + 1) * w, 6) AS high, count(*) AS runs FROM hb GROUP BY ALL")
 def null_histogram(spark, d):
-    return nulls.null_histogram(_null(spark, d, 100))
+    return _round(nulls.null_histogram(_round(_null(spark, d), "ecr", digits=9)), "low", "high")
 
 
 @query()

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gemaruang.operators import metrics, propagation, responses
+from gemaruang.operators import metrics, propagation, responses, tables
 from gemaruang.plans import pipeline
 from gemaruang.sources import files, parsed
 
@@ -120,3 +120,52 @@ def test_pipeline_and_files(spark, tmp_path):
     assert {tuple(x) for x in files.read_edges(spark, str(tmp_path / "edges.txt")).collect()} == {("1", "2"), ("2", "3")}
     with pytest.raises(ValueError, match="overwrite"):
         files.output_path("/x/a.csv", "/x/a.csv")
+
+
+@pytest.mark.parametrize(
+    "answer,want",
+    [
+        ("", []),
+        ('Tweet: "harga naik"\nAspect: ekonomi\nSentiment: [0.1, 0.2, 0.7]', [("harga naik", "ekonomi", "0.1, 0.2, 0.7")]),
+        ("1. TEXT:\n harga\n\nCategory:\r\n 'vaksin' \n\n prob: [1,0,\n0] dan\ntext: b\naspect: c\nprob: [0,1,0]", [("harga", "vaksin", "1,0,\n0"), ("b", "c", "0,1,0")]),
+        ("Tweet: a\nb\nAspect: c\nSentiment: []\nSentiment: [1,0,0]", [("a\nb", "c\nSentiment: []", "1,0,0")]),
+        ("Tweet: a Aspect: b\nSentiment: [1,0,0]", []),
+        ("Tweet: a\nAspect: b", []),
+        ("Tweet:\nAspect: b\nProb: [1,0,0]", [("", "b", "1,0,0")]),
+    ],
+)
+def test_structured_answers(answer, want):
+    assert responses.scan_structured(answer) == want
+
+
+@pytest.mark.parametrize(
+    "answer,want",
+    [
+        ("", []),
+        ("Text harga naik sekali\nCategory ekonomi\nthe prob: [1,0,0]", [("harga naik sekali", "ekonomi", "1,0,0")]),
+        ("Text: 'a b c d e f'\nAspect: x\nSentiment [0,1,0]\n \nText: kurang satu bagian\nAspect: y", [("a b c d e f", "x", "0,1,0")]),
+        ("Text: a\nAspect: b\n[1]", []),
+        ("konteks text lain aspect vaksin sentiment baik prob: [0, 0, 1]", [("lain", "vaksin", "0, 0, 1")]),
+        ("Tweet: pendek", []),
+    ],
+)
+def test_flexible_answers(answer, want):
+    assert responses.scan_flexible(answer) == want
+
+
+def test_answers_of_both_forms(spark):
+    rows = [(1, "Tweet: a\nAspect: b\nProb: [1,0,0]"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "batch int, answer string").select("batch", responses.structured_blocks(F.col("answer")).alias("s"), responses.flexible_blocks(F.col("answer")).alias("f"))
+    got = {r["batch"]: ([tuple(x) for x in r["s"]], [tuple(x) for x in r["f"]]) for r in df.collect()}
+    assert got == {1: ([("a", "b", "1,0,0")], [("a", "b", "1,0,0")]), 2: ([], []), 3: ([], [])}
+
+
+def test_wide_table_tells_names_apart(spark):
+    rows = [("1", "air", "x", 1), ("1", "Air", "y", 2), ("2", "air", "z", 3), ("1", "air", "w", 4), ("3", "ID", "v", 5)]
+    predictions = spark.createDataFrame(rows, "id string, aspect_category string, sentiment_prob string, ord int")
+    meta = spark.createDataFrame([("1", 7), ("3", None), ("9", 1)], "id string, community int")
+    wide = tables.pivot_aspects(predictions, meta)
+    assert wide.columns == ["id", "Air", "ID_2", "air_2", "community"]
+    assert sorted(map(tuple, wide.collect())) == [("1", "y", "", "w", "7"), ("3", "", "v", "", ""), ("9", "", "", "", "1")]
+    assert sorted(map(tuple, tables.unpivot_aspects(wide, ["Air", "ID", "air"]).collect())) == [("1", "7", "Air", "y"), ("1", "7", "air", "w"), ("3", "", "ID", "v")]
+    assert tables.pivot_aspects(predictions.limit(0), meta).columns == ["id", "community"]

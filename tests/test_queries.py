@@ -12,7 +12,7 @@ from gemaruang.plans import corpus_queries, queries  # noqa: E402
 
 FAST = [
     "ecr_sparse", "between_cc", "clean_text", "normalize_text", "negator_merge", "phrase_merge", "text_ids", "unique_aspects", "drop_rows", "merge_text_aspects", "absa_pivot", "parse_probs",
-    "reply_rule3", "user_contraction", "metis_fallback", "dp_pairs", "dp_weights", "dp_phrases", "dp_tfidf_aspect", "eval_aspect_prf", "eval_mismatches", "eval_exact_match", "eval_mse_logloss", "eval_brier", "eval_brier_baseline", "null_attribute",
+    "reply_rule3", "user_contraction", "metis_fallback", "dp_pairs", "dp_weights", "dp_phrases", "dp_tfidf_aspect", "eval_aspect_prf", "eval_mismatches", "eval_exact_match", "eval_mse_logloss", "eval_brier", "eval_brier_baseline", "null_attribute", "ecr_details", "partition_modularity", "dp_predictions", "llm_parse_planted", "prompt_system", "prompt_users", "eval_wrong_lengths", "contracted_edges",
 ]
 
 
