@@ -162,8 +162,9 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     fills = first.groupBy("district", "bin").agg(F.sum("size").alias("fill"))
     marked = first.join(fills, ["district", "bin"])
     good = marked.filter(F.col("fill") >= poor * capacity)
-    rest = marked.filter(F.col("fill") < poor * capacity).select("item", "k", "part", "size")
-    again = _rounds(rest, max(1, round(districts / 20)), capacity) if districts > 1 else marked.filter(F.col("fill") < poor * capacity)
+    rest = cut(marked.filter(F.col("fill") < poor * capacity).select("item", "k", "part", "size", "district", "bin"))
+    # districts of the second pass are sized by what is left; where all was one district, packing it again gains nothing
+    again = _rounds(rest.select("item", "k", "part", "size"), max(1, round(rest.count() / district_items)), capacity) if districts > 1 else rest
 
     def named(df: DataFrame, stage: str) -> DataFrame:
         return df.select(F.concat_ws("-", F.lit(stage), "district", "bin").alias("container"), F.col("k").alias(key), "part", "size")

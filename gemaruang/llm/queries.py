@@ -64,6 +64,10 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(_table(spark, d, "documents"))
 
 
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.pack_documents(_table(spark, d, "documents")))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(_table(spark, d, "documents"), _table(spark, d, "reading_labels")).select("doc_id", "reading_level")
 
@@ -75,7 +79,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_languages, p2_found, p2_redacted, p3_found, p3_records, p6_found, p6_unmatched, p7_found, p7_classes, p8_ids, p9_containers, p10_found, p10_profile,
+        p1_found, p1_languages, p2_found, p2_redacted, p3_found, p3_records, p6_found, p6_unmatched, p7_found, p7_classes, p8_ids, p9_containers, p9_fill, p10_found, p10_profile,
     )
 }
 

@@ -6,7 +6,7 @@ and length features, calibrated to the levels people gave.
 Word rarity needs the corpus: in how many documents each word occurs, counted over all documents. Words in at least a share
 ``COMMON`` of the documents are broadcast; a document of at most ``w`` distinct words adds at most ``w`` to the sum of all
 frequencies, so there are at most (mean distinct words / ``COMMON``) of them whatever the corpus. Every other word is by definition rare,
-with one rarity. Features are centred and scaled within the document's language over all documents, so that long words of one
+with one rarity. Features are centred and scaled within the document's language, as the classifier of language labels tells it, over all documents, so that long words of one
 language do not count as hard in another.
 
 The fit uses at most ``most_labels`` labelled documents, chosen by a hash of the key; several ratings of one document are
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gemaruang.functions.text import WS
+from gemaruang.llm import language
 from gemaruang.session import cut, spread
 
 LEVELS = 4
@@ -34,19 +34,17 @@ FEATURES = (
     "word_length", "long_words", "very_long_words", "sentence_words", "sentence_letters", "diversity", "pair_diversity", "rarity", "rare_words", "connectives", "clauses", "commas", "long_sentences", "length_spread",
 )
 
-#: Frequent words that tell the language, words that open a clause, and words that join sentences (fixed values).
-FUNCTION_WORDS = {
-    "id": frozenset("yang dan di untuk dari dengan tidak pada ini itu karena sudah oleh dalam antara atau akan bahwa sejak selama".split()),
-    "en": frozenset("the and of to is in that for with was not by which from at this are on after when".split()),
-    "jv": frozenset("kang lan ing ora saka karo iki wis iku marang amarga nganti kanggo saben ana wong dadi saking menyang awit".split()),
-    "es": frozenset("el la de que y los las en por con para no se del una un es aunque nadie desde".split()),
-    "nl": frozenset("de het een van en niet dat die voor met op te is wordt naar om door bij zodat omdat".split()),
-}
+#: Words that open a clause (fixed values).
 CLAUSE_WORDS = frozenset(
     "yang sehingga sepanjang mengingat karena meskipun walaupun ketika supaya agar sebagaimana apabila bilamana sebab bahwa kendatipun selama sejak sebelum setelah which that because although since whereas insofar thereby given while so who whose when before after unless kang supaya saéngga awit amarga senajan kamangka sawisé nganti que porque aunque cuando dado mientras cuyo donde si desde para die dat omdat terwijl zodat doordat waardoor hoewel waarbij sinds voordat nadat als".split()
 )
+#: Connecting adverbs and conjunctions between sentences as grammars list them, by language: Indonesian, English, Javanese, Spanish, Dutch; chosen without the graded texts (fixed values).
 CONNECTIVES = frozenset(
-    "berdasarkan kendati demikian secara konseptual sebagaimana samping perspektif tataran apabila selanjutnya namun oleh adapun furthermore consequently conversely notwithstanding moreover however therefore nevertheless closer institutional mangkono saliyané sanadyan adhedhasar kanthi miturut además obstante consiguiente asimismo embargo tanto bovendien derhalve desalniettemin echter daarentegen niettemin tevens overigens".split()
+    """namun tetapi sedangkan sementara melainkan padahal selanjutnya kemudian akhirnya lantas selain demikian akibatnya sebaliknya misalnya contohnya bahkan apalagi terlebih adapun kendati alhasil singkatnya ringkasnya jelasnya
+    accordingly additionally also besides consequently conversely finally furthermore hence however indeed instead likewise meanwhile moreover nevertheless nonetheless notwithstanding otherwise similarly specifically still subsequently then thereafter therefore thus
+    nanging dene mula mulané banjur saliyané kejaba sanadyan senajan mangkono malah apamanèh wusanané pungkasané tegesé upamané
+    además ahora así asimismo consecuentemente consiguiente contrario embargo entonces finalmente incluso luego mientras obstante pues sino también tampoco tanto
+    bovendien daarentegen daarna daardoor daarom derhalve desalniettemin desondanks dus echter eveneens immers integendeel kortom niettemin nochtans overigens tevens toch trouwens uiteindelijk vervolgens voorts""".split()
 )
 
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -58,31 +56,36 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
 
-def language_of(words: list[str]) -> str:
-    """The language with most of its frequent words; the first one where none occurs."""
-    return max(FUNCTION_WORDS, key=lambda lang: sum(w in FUNCTION_WORDS[lang] for w in words))
+def main_language(words: list[str], model: language.Model | None) -> str:
+    """The language with the largest share of the words' scores; '' without a model."""
+    if model is None:
+        return ""
+    total = [0.0] * len(language.LANGUAGES)
+    for w in words:
+        for k, x in enumerate(model.word(w)[2]):
+            total[k] += x
+    return language.LANGUAGES[total.index(max(total))]
 
 
-def features(text: str | None, rarity: dict[str, float]) -> tuple[str, list[float]]:
-    """(language, values of FEATURES); a text without words has zeros."""
+def features(text: str | None, rarity: dict[str, float]) -> tuple[list[str], list[float]]:
+    """(words, values of FEATURES); a text without words has zeros."""
     words = words_of(text)
     if not words:
-        return "id", [0.0] * len(FEATURES)
+        return words, [0.0] * len(FEATURES)
     n = len(words)
     sizes = [len(w) for w in words]
     mean = sum(sizes) / n
     sentences = [s for part in _SENTENCE.split(text) if (s := len(_WORDS.findall(part)))]
     count = len(sentences) or 1
     rare = [rarity.get(w, _RARITY) for w in words]
-    pairs = len(set(zip(words, words[1:])))
-    return language_of(words), [
+    return words, [
         mean,
         sum(s >= 9 for s in sizes) / n,
         sum(s >= 12 for s in sizes) / n,
         n / count,
         sum(sizes) / count,
         len(set(words)) / math.sqrt(n),
-        pairs / n,
+        len(set(zip(words, words[1:]))) / n,
         sum(rare) / n,
         sum(r > 0.5 * _RARITY for r in rare) / n,
         sum(w in CONNECTIVES for w in words) / count,
@@ -163,14 +166,16 @@ def common_words(docs: DataFrame, text: str = "text") -> dict[str, float]:
         table.unpersist()
 
 
-def document_features(docs: DataFrame, rarity: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
+def document_features(docs: DataFrame, rarity: dict[str, float], key: str = "doc_id", text: str = "text", model: language.Model | None = None) -> DataFrame:
     """(key, language, words, features) of every document; words are separated by white space."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+    shared = docs.sparkSession.sparkContext.broadcast((rarity, model and (model.vocabulary, model.idf, model.w, model.temperature)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, parts = shared.value
+        told = language.Model(*parts) if parts else None
         for b in batches:
-            got = [features(t, shared.value) for t in b["t"]]
-            yield pd.DataFrame({"k": b["k"], "words": [len(t.split()) if t else 0 for t in b["t"]], "language": [g[0] for g in got], "features": [g[1] for g in got]})
+            got = [features(t, known) for t in b["t"]]
+            yield pd.DataFrame({"k": b["k"], "words": [len(t.split()) if t else 0 for t in b["t"]], "language": [main_language(g[0], told) for g in got], "features": [g[1] for g in got]})
 
     rows = spread(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")))
     return rows.mapInPandas(run, "k long, words int, language string, features array<double>").withColumnRenamed("k", key)
@@ -198,16 +203,21 @@ def fit_levels(feats: DataFrame, labels: DataFrame, scales: dict, key: str = "do
     return Ordinal.fit(x, rows["y"].to_numpy(int) - 1, weight)
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 60) -> DataFrame:
-    """(key, reading_level, confidence) of each document of at least ``least_words`` words; without labels no document has a level."""
+def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 60, label: str = "lang", sample: int = 300) -> DataFrame:
+    """(key, reading_level, confidence) of each document of at least ``least_words`` words; without labels no document has a level.
+
+    The language of a document is told by the classifier of language labels, fitted on at most about ``sample`` labelled documents of each
+    language; without a column ``label`` all documents are scaled together.
+    """
     # scales, fit and grading all read the features: they are computed once
-    feats = cut(document_features(docs, common_words(docs, text), key, text))
+    model = language.train(docs, key, text, label, sample) if label in docs.columns else None
+    feats = cut(document_features(docs, common_words(docs, text), key, text, model if model and model.vocabulary else None))
     scales = language_scales(feats)
-    model = fit_levels(feats, labels, scales, key)
+    grades = fit_levels(feats, labels, scales, key)
     schema = f"`{key}` long, reading_level int, confidence double"
-    if model is None:
+    if grades is None:
         return feats.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast((model.w, model.cuts, scales))
+    shared = docs.sparkSession.sparkContext.broadcast((grades.w, grades.cuts, scales))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, cuts, by = shared.value
