@@ -203,7 +203,7 @@ def fit_levels(feats: DataFrame, labels: DataFrame, scales: dict, key: str = "do
     return Ordinal.fit(x, rows["y"].to_numpy(int) - 1, weight)
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 60, label: str = "lang", sample: int = 300) -> DataFrame:
+def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 60, label: str = "lang", sample: int = 60) -> DataFrame:
     """(key, reading_level, confidence) of each document of at least ``least_words`` words; without labels no document has a level.
 
     The language of a document is told by the classifier of language labels, fitted on at most about ``sample`` labelled documents of each
