@@ -88,8 +88,8 @@ def run(
     def parts() -> DataFrame:
         if "community" in corpus.columns:
             return corpus.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max_by("community", order).alias("community"))
-        # only detection needs the explicit graph; the merged one is made from the groups
-        return communities.detect(t.select("id"), graph.reply_edges(t), algo, k, resolution)
+        # detection works on the groups, as the merged graph does
+        return communities.detect(t.select("id"), graph.ReplyGraph(t), algo, k, resolution)
 
     partition = timed("communities", lambda: cut(parts()))
     nodes, node_map = timed("contraction", lambda: graph.merge_by_user(t, partition, "name" in corpus.columns))
