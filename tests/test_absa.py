@@ -169,3 +169,11 @@ def test_wide_table_tells_names_apart(spark):
     assert sorted(map(tuple, wide.collect())) == [("1", "y", "", "w", "7"), ("3", "", "v", "", ""), ("9", "", "", "", "1")]
     assert sorted(map(tuple, tables.unpivot_aspects(wide, ["Air", "ID", "air"]).collect())) == [("1", "7", "Air", "y"), ("1", "7", "air", "w"), ("3", "", "ID", "v")]
     assert tables.pivot_aspects(predictions.limit(0), meta).columns == ["id", "community"]
+
+
+def test_predictions_have_a_small_plan(spark):
+    from gemaruang.plans import queries
+
+    df = queries.QUERIES["dp_predictions"](spark, "/root/testdata/sf0.001")
+    # rows, texts and numbers of contexts are each found once; the driver held the joins of all their copies before
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 10
